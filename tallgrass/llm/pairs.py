@@ -100,7 +100,7 @@ def with_limits(responses: DataFrame) -> DataFrame:
     if limits.count() <= 10_000:
         limits = F.broadcast(limits)
     near = (F.length("response") == F.col("_chars")) | (F.col("_bytes") - F.octet_length("response")).between(0, 3)
-    return responses.withColumn("_tag", F.lower(F.trim("run_tag"))).join(limits, "_tag", "left").select("scan_idx", "id", "response", F.coalesce(near, F.lit(False)).alias("_limit"))
+    return responses.withColumn("_tag", F.lower(F.trim("run_tag"))).join(limits, "_tag", "left").select("scan_idx", "id", "_tag", "response", F.coalesce(near, F.lit(False)).alias("_limit"))
 
 
 def bounded(df: DataFrame, bound: int, key: str = "scan_idx", seed: int = 11) -> pd.DataFrame:
