@@ -174,6 +174,25 @@ def whole(x: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
     return ~(x[:, [c[b] for b in bad]] > 0).any(axis=1)
 
 
+def in_parts(name, texts, questions, slots, limit, extra=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of training texts, each with its own question, in parts so that memory stays small.
+
+    ``extra`` adds n-gram slots of its own to those of each part of the texts.
+    """
+    xs, ss, rs = [], [], []
+    for a in range(0, len(texts), 512):
+        b = min(a + 512, len(texts))
+        col, q, own = pa.array(texts[a:b], pa.string()), fs.Questions(pa.array(questions[a:b], pa.string())), np.arange(b - a)
+        x, slot, row = fs.response_features(col, own, q, slots[a:b], limit[a:b]) if name == "response" else fs.answer_features(col, own, q, slots[a:b])
+        if extra:
+            more, at_ = extra(col)
+            slot, row = np.concatenate([slot, more]), np.concatenate([row, at_])
+        xs.append(x)
+        ss.append(slot.astype(np.int32))
+        rs.append((row + a).astype(np.int32))
+    return np.concatenate(xs), np.concatenate(ss), np.concatenate(rs)
+
+
 class Classifier:
     """The two linear models (responses, answers) and their thresholds."""
 
@@ -188,16 +207,14 @@ class Classifier:
             self.answer = self._fit("answer", *self._broken_answers(answers, rng))
 
     def _fit(self, name, texts, questions, slots, limit, y) -> Linear:
-        own = np.arange(len(texts))
-        col, q = pa.array(texts, pa.string()), fs.Questions(pa.array(questions, pa.string()))
-        x, slot, row = fs.response_features(col, own, q, slots, limit) if name == "response" else fs.answer_features(col, own, q, slots)
+        x, slot, row = in_parts(name, texts, questions, slots, limit)
         m = Linear(len(LABELS), x.shape[1]).fit(x, slot, row, y)
         self.held_out[name] = m.held_out
         return m
 
     def _broken(self, s: pd.DataFrame, rng: random.Random):
         texts, qs, slots = s["response"].fillna("").tolist(), s["question"].fillna("").tolist(), s["slots"].to_numpy(int)
-        x, _, _ = fs.response_features(pa.array(texts, pa.string()), np.arange(len(s)), fs.Questions(pa.array(qs, pa.string())), slots, np.zeros(len(s)))
+        x, _, _ = in_parts("response", texts, qs, slots, np.zeros(len(s)))
         good = np.flatnonzero(whole(x, fs.RESPONSE)).tolist()
         for i in good:
             if rng.random() < 0.15 and qs[i]:  # a whole response may repeat its question before it goes on
@@ -219,7 +236,7 @@ class Classifier:
 
     def _broken_answers(self, s: pd.DataFrame, rng: random.Random):
         texts, qs, slots = s["answer"].fillna("").tolist(), s["question"].fillna("").tolist(), s["slots"].to_numpy(int)
-        x, _, _ = fs.answer_features(pa.array(texts, pa.string()), np.arange(len(s)), fs.Questions(pa.array(qs, pa.string())), slots)
+        x, _, _ = in_parts("answer", texts, qs, slots, np.zeros(len(s)))
         # an answer that its response ends on is whole even where it has words
         agreed = np.array([_agree(a, r) for a, r in zip(texts, s["response"].fillna("").tolist())], bool)
         good = np.flatnonzero(whole(x, fs.ANSWER) | (agreed & (x[:, fs.ANSWER.index("nothing")] == 0))).tolist()
