@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,19 @@ def local_session(cores: int | str = 8, *, driver_memory: str = "8g", partitions
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: below the checkpoint folder the cluster names.
+
+    Only where that is unset, and Spark runs on this machine, a local temporary folder is used.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset on a cluster")
+        shared = "file://" + os.path.join(tempfile.gettempdir(), "tallgrass-shared")
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
@@ -39,7 +53,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
+        if shared is None and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir is unset on a cluster")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "tallgrass-checkpoints"))
     return df.checkpoint()
