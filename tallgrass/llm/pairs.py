@@ -190,6 +190,8 @@ def in_parts(name, texts, questions, slots, limit, extra=None) -> tuple[np.ndarr
         xs.append(x)
         ss.append(slot.astype(np.int32))
         rs.append((row + a).astype(np.int32))
+    if not xs:
+        return np.zeros((0, len(fs.RESPONSE if name == "response" else fs.ANSWER))), np.zeros(0, np.int32), np.zeros(0, np.int32)
     return np.concatenate(xs), np.concatenate(ss), np.concatenate(rs)
 
 
@@ -206,7 +208,9 @@ class Classifier:
         if len(answers):
             self.answer = self._fit("answer", *self._broken_answers(answers, rng))
 
-    def _fit(self, name, texts, questions, slots, limit, y) -> Linear:
+    def _fit(self, name, texts, questions, slots, limit, y) -> Linear | None:
+        if not texts:  # no whole field to learn from
+            return None
         x, slot, row = in_parts(name, texts, questions, slots, limit)
         m = Linear(len(LABELS), x.shape[1]).fit(x, slot, row, y)
         self.held_out[name] = m.held_out

@@ -57,6 +57,8 @@ class Detector:
         if not len(sample):
             return
         texts, questions, slots, limit, y = pairs.Classifier(sample[:0], sample[:0])._broken(sample, random.Random(seed))
+        if not texts:
+            return
         x, slot, row = pairs.in_parts("response", texts, questions, slots, limit, extra=closing)
         self.model = linear.Linear(1, x.shape[1]).fit(x, slot, row, y[:, 1:2])
         self.held_out = self.model.held_out[0]
