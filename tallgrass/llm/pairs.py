@@ -245,6 +245,12 @@ class Classifier:
         agreed = np.array([_agree(a, r) for a, r in zip(texts, s["response"].fillna("").tolist())], bool)
         good = np.flatnonzero(whole(x, fs.ANSWER) | (agreed & (x[:, fs.ANSWER.index("nothing")] == 0))).tolist()
         rows = [(texts[i], qs[i], slots[i], False, None) for i in good]
+        worded = [texts[i] for i in good if any(c.isalpha() for c in texts[i]) and "\\" not in texts[i]] or [""]
+        for i in good[::2]:  # fields that pack several values, words among them, are whole too
+            some = [rng.choice((rng.choice(worded), texts[rng.choice(good)], rng.choice(worded))) for _ in range(rng.randint(2, 4))]
+            quote = rng.random() < 0.4
+            some = ['"' + v.replace('"', '""') + '"' if quote and ("," in v or ";" in v or rng.random() < 0.3) else v for v in some]
+            rows.append((rng.choice((", ", ",", "; ", ";", " and ", "\n", " | ")).join(some), qs[i], len(some), False, None))
         for i in good:
             k = rng.random()
             if k < 0.25:
@@ -281,7 +287,10 @@ class Classifier:
             return np.where(empty, 0, -1)
         over = m.scores(x, slot, row) - m.cut
         best = over.argmax(axis=1)
-        return np.where(over[np.arange(len(best)), best] > 0, best, -1)
+        found = over[np.arange(len(best)), best] > 0
+        if name == "response":  # without a whole final answer a response has some defect: the likeliest
+            found |= ~(x[:, [fs.RESPONSE.index("complete_box"), fs.RESPONSE.index("complete_value")]] > 0).any(axis=1)
+        return np.where(empty, 0, np.where(found, best, -1))  # nothing at all is empty, whatever the scores
 
 
 class Known:
