@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallgrass.functions import fixed_values as fx
 from tallgrass.functions import text as tx
 
-#: Most protected rows that are broadcast; more are joined by their word runs.
-BROADCAST_ROWS = 20_000
+try:
+    import ahocorasick
+except ImportError:  # then texts are looked for one by one
+    ahocorasick = None
+
+#: Most protected prefixes that are shipped to the workers; more are joined by their word runs.
+SHIPPED = 20_000
 #: Words in a run of a key that row and protected question must share before they are compared.
 RUN = 4
 
@@ -30,31 +39,60 @@ def _hit(full: Column, head: Column, prefix: Column) -> Column:
     return F.contains(full, prefix) | F.contains(prefix, head) | F.contains(head, prefix)
 
 
+def _runs(text: Column) -> Column:
+    """Hashes of the runs of whole inner words of a key; empty for a key of few words.
+
+    The words at both ends may be cut, the inner ones stand in any text that contains the key.
+    """
+    w = F.split(text, " ")
+    last = F.size(w) - RUN
+    return F.when(last >= 2, F.transform(F.sequence(F.lit(2), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i, RUN), " ")))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _matcher(texts: list[str]) -> Callable[..., Column]:
+    """Arrow function of a key and its head: whether the key has one of the texts in it, or one of them the head."""
+
+    @F.pandas_udf(T.BooleanType())
+    def match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        whole = "\n".join(texts)  # keys hold no line breaks
+        find = None
+        if ahocorasick and texts:
+            find = ahocorasick.Automaton()
+            for t in texts:
+                find.add_word(t, True)
+            find.make_automaton()
+
+        def inside(s: str) -> bool:
+            return next(find.iter(s), None) is not None if find else any(t in s for t in texts)
+
+        for full, head in batches:
+            yield pd.Series([bool(texts) and f is not None and (h in whole or inside(f) or inside(h)) for f, h in zip(full, head)], dtype=bool)
+
+    return match
+
+
 def containment(df: DataFrame, protected: DataFrame, column: str = "question", protected_column: str = "question") -> DataFrame:
     """``df`` with ``hit``: whether a protected prefix is in the row's key, or the row's prefix in it.
 
-    A row key that is empty hits whenever anything is protected.  Protected sets up to
-    ``BROADCAST_ROWS`` are compared in memory; larger ones only with rows that share a run of
-    words, which every containment of a long key implies.
+    A row key that is empty hits whenever anything is protected.  Keys are compared only where
+    they can contain one another: a key contains a prefix only if it has the prefix's first run
+    of inner words, and lies in one only if its own first run is among the prefix's.  Keys of too
+    few words for a run are compared with all.  Up to ``SHIPPED`` protected prefixes go to the
+    workers as one automaton, with no join and no shuffle; more are joined by their runs.
     """
-    p = prefixes(protected, protected_column)
+    p = prefixes(protected, protected_column).withColumn("_runs", _runs(F.col("prefix")))
     base = df.withColumn("_full", tx.overlap_key(F.col(column))).withColumn("_head", tx.overlap_key(F.substring(F.col(column), 1, fx.PREFIX_CHARS)))
+    own, head = F.concat(_runs(F.col("_full")), _runs(F.col("_head"))), F.get(_runs(F.col("_head")), F.lit(0))
+    if p.count() <= SHIPPED:
+        hit = _matcher([r["prefix"] for r in p.select("prefix").collect()])  # bounded by the check
+        return base.withColumn("hit", hit("_full", "_head")).drop("_full", "_head")
     keys = base.select("_full", "_head").distinct()
-    if p.count() <= BROADCAST_ROWS:
-        hits = keys.join(F.broadcast(p), _hit(keys["_full"], keys["_head"], p["prefix"]), "left_semi")
-    else:
-        def runs(text: Column) -> Column:
-            # runs of whole inner words: a cut at either end of a contained key leaves them intact
-            w = F.split(text, " ")
-            n = F.size(w)
-            return F.when(n >= RUN + 2, F.array_distinct(F.transform(F.sequence(F.lit(2), n - RUN), lambda i: F.xxhash64(F.array_join(F.slice(w, i, RUN), " "))))).otherwise(F.array(F.lit(0).cast("bigint")))
-
-        short = F.size(F.split("_head", " ")) < RUN + 2
-        by_run = keys.select("_full", "_head", F.explode(runs(F.col("_full"))).alias("_run"))
-        protected_runs = p.select("prefix", F.explode(runs(F.col("prefix"))).alias("_run"))
-        found = by_run.join(protected_runs, "_run").where(_hit(F.col("_full"), F.col("_head"), F.col("prefix"))).select("_full", "_head")
-        few = p.where(F.size(F.split("prefix", " ")) < RUN + 2)  # keys too short for runs are compared with all
-        rest = keys.join(few, _hit(keys["_full"], keys["_head"], few["prefix"]), "left_semi").unionByName(keys.where(short).join(p, _hit(keys["_full"], keys["_head"], p["prefix"]), "left_semi"))
-        hits = found.unionByName(rest).distinct()
-    marked = base.join(hits.withColumn("_is", F.lit(True)), ["_full", "_head"], "left")
-    return marked.withColumn("hit", F.coalesce("_is", F.lit(False))).drop("_full", "_head", "_is")
+    marked = keys.withColumn("_head_run", head)
+    by_own = marked.select("_full", "_head", F.explode(own).alias("_run")).distinct().join(p.select("prefix", F.get("_runs", F.lit(0)).alias("_run")), "_run")
+    by_head = marked.select("_full", "_head", F.col("_head_run").alias("_run")).join(p.select("prefix", F.explode("_runs").alias("_run")), "_run")
+    found = by_own.unionByName(by_head).where(_hit(F.col("_full"), F.col("_head"), F.col("prefix"))).select("_full", "_head")
+    few, brief = p.where(F.size("_runs") == 0), marked.where("_head_run is null").select("_full", "_head")
+    for a, b in ((keys, few), (brief, p)):
+        found = found.unionByName(a.join(b.select("prefix"), _hit(F.col("_full"), F.col("_head"), F.col("prefix")), "left_semi"))
+    out = base.join(found.distinct().withColumn("_is", F.lit(True)), ["_full", "_head"], "left")
+    return out.withColumn("hit", F.coalesce("_is", F.lit(False))).drop("_full", "_head", "_is")

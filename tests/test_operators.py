@@ -26,11 +26,11 @@ def test_overlap_key_and_decontamination(spark):
     assert sorted(r.n for r in decontaminate.exact(df, items).collect()) == [2, 3, 4]
     small = {r.n: r.hit for r in decontaminate.containment(df, items).collect()}
     assert small == {1: True, 2: True, 3: False, 4: True}  # an empty key is in every prefix
-    keep, decontaminate.BROADCAST_ROWS = decontaminate.BROADCAST_ROWS, 0
+    keep, decontaminate.SHIPPED = decontaminate.SHIPPED, 0
     try:
         assert {r.n: r.hit for r in decontaminate.containment(df, items).collect()} == small
     finally:
-        decontaminate.BROADCAST_ROWS = keep
+        decontaminate.SHIPPED = keep
 
 
 def test_samples(spark):
