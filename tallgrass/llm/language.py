@@ -14,10 +14,10 @@ from tallgrass.llm import arrowtext as at
 #: Frequent words by language, general knowledge.  Scripts decide for ru and zh.
 FREQUENT = {
     "en": "the of and is to in that it for on are with as by this be from at or which we have not so no if all one two can let then than first only any each both its has was there where when find value show gives hence thus therefore answer none these say yes but solution series then stop increasing decreasing infinity true false number sum terms equals",
-    "de": "der die das und ist nicht ein eine einen einem wir mit auf den dem des im zu von für wird werden sind auch als bei oder aber nach aus wenn dann man sich keine kein genau immer zwei drei vier wert werte lösung lösungen grad also nur noch durch beide beiden gleich größer kleiner summe winkel antwort lautet unendlich vorhanden alle jede positiv negativ steigend fallend zuerst danach uhrzeigersinn entweder mindestens höchstens zwischen keiner keines oben genannten nichts davon viele",
-    "fr": "le la les des du un une est et dans que qui pour sur par avec ne pas plus on nous vous il elle sont aux au ce cette ces donc alors aucune aucun toujours jamais deux trois réelle réponse vaut somme côtés égaux angle mesure ensuite entre où cas seule valeur possible mètres de à solutions tous toutes vrai faux infini croissante décroissante ou précédentes exactement environ degrés",
-    "es": "el los las una unos es y en que por para con no se del al lo como más pero sus si son está este esta estos hay siempre nunca ninguna ninguno dos tres cuánto suma igual valor luego entre ambos lados primero respuesta veamos caso mayor menor números de anteriores positiva negativo creciente decreciente infinitas soluciones solución metros entre exactamente verdadero falso cada todos grados",
-    "it": "il lo gli una è e di che per con non si del della dei delle nel nella sono come più ma anche questo questa quindi poi nessuna nessuno sempre mai due tre soltanto valore possibile somma uguale numeri entrambi lati risposta rimane condizione soddisfatta vede prima cosa scriviamo soluzione soluzioni crescente decrescente vero falso infinite metri gradi tra oppure circa esattamente tutti precedenti",
+    "de": "der die das und wie groß welche wieviel ist nicht ein eine einen einem wir mit auf den dem des im zu von für wird werden sind auch als bei oder aber nach aus wenn dann man sich keine kein genau immer zwei drei vier wert werte lösung lösungen grad also nur noch durch beide beiden gleich größer kleiner summe winkel antwort lautet unendlich vorhanden alle jede positiv negativ steigend fallend zuerst danach uhrzeigersinn entweder mindestens höchstens zwischen keiner keines oben genannten nichts davon viele",
+    "fr": "le la les quel quelle combien des du un une est et dans que qui pour sur par avec ne pas plus on nous vous il elle sont aux au ce cette ces donc alors aucune aucun toujours jamais deux trois réelle réponse vaut somme côtés égaux angle mesure ensuite entre où cas seule valeur possible mètres de à solutions tous toutes vrai faux infini croissante décroissante ou précédentes exactement environ degrés",
+    "es": "el la los las vale qué cuál cuáles halla una unos es y en que por para con no se del al lo como más pero sus si son está este esta estos hay siempre nunca ninguna ninguno dos tres cuánto suma igual valor luego entre ambos lados primero respuesta veamos caso mayor menor números de anteriores positiva negativo creciente decreciente infinitas soluciones solución metros entre exactamente verdadero falso cada todos grados",
+    "it": "il la le lo gli quanto vale qual una è e di che per con non si del della dei delle nel nella sono come più ma anche questo questa quindi poi nessuna nessuno sempre mai due tre soltanto valore possibile somma uguale numeri entrambi lati risposta rimane condizione soddisfatta vede prima cosa scriviamo soluzione soluzioni crescente decrescente vero falso infinite metri gradi tra oppure circa esattamente tutti precedenti",
     "pt": "o os as um uma é e em que não para com por se do da dos das no na mais como mas ao são também já ou quando muito nos só pelo pela até isso ela entre depois sem mesmo aos nenhuma nenhum sempre dois três soma valor resposta solução ambos lados primeiro",
     "nl": "de het een en van is dat op te in voor met zijn niet aan er om ook als bij maar dan ze uit nog geen wel naar wij deze dit wordt altijd twee drie som waarde antwoord oplossing beide zijden eerst daarna dus groter kleiner gelijk hoek graden",
     "pl": "i w na nie się z do jest to że o jak po co ale od za czy przez dla tylko już jego są ma być oraz lub dwa trzy suma wartość odpowiedź rozwiązanie brak zawsze nigdy więc następnie",
