@@ -334,3 +334,15 @@ def repaired_udf(response: pd.Series, blanks: pd.Series) -> pd.DataFrame:
 def row_error_udf(pred: pd.Series, gold: pd.Series) -> pd.Series:
     """Main error of each row."""
     return pd.Series([None if p is None or g is None else row_error(list(p), list(g)) for p, g in zip(pred, gold)])
+
+
+@F.pandas_udf(T.IntegerType())
+def rounding_udf(pred: pd.Series, gold: pd.Series) -> pd.Series:
+    """Bits of how a row nearly matches in all slots: 1 within 1 %, 2 within 0.1 %, 4 gold rounded to the shown digits."""
+
+    def bits(p: Sequence[str], g: Sequence[str]) -> int:
+        pairs = [(an.normal(a), an.normal(b)) for a, b in zip(p, g)]
+        tests = (lambda a, b: near(a, b, 1e-2), lambda a, b: near(a, b, 1e-3), rounded)
+        return sum(1 << k for k, t in enumerate(tests) if all(t(a, b) for a, b in pairs))
+
+    return pd.Series([0 if p is None or g is None or len(p) != len(g) else bits(list(p), list(g)) for p, g in zip(pred, gold)])
