@@ -122,7 +122,7 @@ _KEY = (
 def overlap_keys(spark: SparkSession, d: str) -> DataFrame:
     """Overlap key of every question."""
     k = tx.overlap_key(question())
-    return corpus(spark, d, "scan_idx", "question").select("scan_idx", k.alias("key"), F.length(k).alias("key_chars"))
+    return corpus(spark, d, "scan_idx", "question").select("scan_idx", k.alias("key"), F.length(k).cast("bigint").alias("key_chars"))
 
 
 @query(f"""with {ITEMS} select count(*) as kept, count(distinct c.source_id) as kept_ids from sft_corpus c

@@ -22,7 +22,7 @@ def boxed_extract(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of every response's final section."""
     b = tx.boxes(tx.final_section(F.coalesce("response", F.lit(""))))
     r = table(spark, d, "responses", "scan_idx", "response").select("scan_idx", b.alias("b"))
-    return r.select("scan_idx", F.array_join("b", " | ").alias("boxes"), F.size("b").alias("n_boxes"), F.coalesce(F.try_element_at("b", F.lit(-1)), F.lit("")).alias("last_box"))
+    return r.select("scan_idx", F.array_join("b", " | ").alias("boxes"), F.size("b").cast("bigint").alias("n_boxes"), F.coalesce(F.try_element_at("b", F.lit(-1)), F.lit("")).alias("last_box"))
 
 
 @query()
