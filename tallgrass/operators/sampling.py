@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from tallgrass.functions.text import uniform
 
 
+#: Ranges of the random number in which strata are ranked.
+RANGES = 1024
+
+
 def order(key: str, seed: int) -> list[Column]:
     """Random order of a key."""
     return [uniform(F.col(key), seed), F.col(key)]
@@ -47,23 +51,26 @@ def proportional(df: DataFrame, stratum: str, target: int, key: str, seed: int =
 def _first(df: DataFrame, sizes: DataFrame, strata: Sequence[str], key: str, seed: int) -> DataFrame:
     """The first ``_k`` rows of each stratum in random order.
 
-    Rows whose number lies far above what a stratum keeps are dropped before they are ranked, so
-    a large stratum does not have to be sorted whole: of n rows the k smallest numbers lie below
-    k/n by a wide margin, and a stratum in which too few do is ranked whole.
+    A row's rank is the number of rows in smaller ranges of the random number plus its place in
+    its own range, so a stratum with a third of all rows is ranked in ``RANGES`` groups, and
+    ranges beyond the last kept rank are left out before anything is sorted.
     """
-    same = [F.col(f"a.{s}").eqNullSafe(F.col(f"b.{s}")) for s in strata]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    n = df.groupBy(*strata).agg(F.count("*").alias("_n"))
-    on_n = [F.col(f"c.{s}").eqNullSafe(F.col(f"n.{s}")) for s in strata]
-    both = on_n[0]
-    for s in on_n[1:]:
-        both = both & s
-    limits = sizes.alias("c").join(n.alias("n"), both).select("c.*", (F.col("_k") / F.col("_n") + 6 * F.sqrt(F.col("_k") + 4.0) / F.col("_n")).alias("_top"))
-    rows = df.withColumn("_u", uniform(F.col(key), seed)).alias("a").join(limits.alias("b"), on).where("_u <= _top").select("a.*", "_k")
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("_u", key))
-    return rows.withColumn("_r", rank).where("_r <= _k").drop("_r", "_k", "_u")
+
+    def same(a: str, b: str, names: Sequence[str]) -> Column:
+        on = F.lit(True)
+        for n in names:
+            on = on & F.col(f"{a}.`{n}`").eqNullSafe(F.col(f"{b}.`{n}`"))
+        return on
+
+    rows = df.withColumn("_u", uniform(F.col(key), seed)).withColumn("_range", F.floor(F.col("_u") * RANGES))
+    counts = rows.groupBy(*strata, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*strata).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    needed = counts.alias("c").join(sizes.alias("s"), same("c", "s", strata)).where("_before < _k").select(*[F.col(f"c.`{n}`") for n in strata], "_range", "_before", "_k")
+    names = [*strata, "_range"]
+    kept = rows.alias("a").join(needed.alias("b"), same("a", "b", names)).select("a.*", "_before", "_k")
+    place = F.row_number().over(Window.partitionBy(*names).orderBy("_u", key))
+    return kept.withColumn("_r", place).where("_before + _r <= _k").drop("_r", "_k", "_u", "_range", "_before")
 
 
 def weighted(df: DataFrame, k: int, weight: Column, key: str, seed: int = 42) -> DataFrame:
@@ -82,7 +89,9 @@ def quota(df: DataFrame, bucket: str, quotas: dict[str, int], position: str) ->
     """The first rows of each bucket in scan order, up to its quota; buckets without quota get none."""
     limits = F.create_map(*[x for b, n in quotas.items() for x in (F.lit(b), F.lit(n))])
     rank = F.row_number().over(Window.partitionBy(bucket).orderBy(position))
-    return df.where(F.col(bucket).isin(*quotas)).withColumn("_r", rank).where(F.col("_r") <= F.try_element_at(limits, F.col(bucket))).drop("_r")
+    ranked = df.where(F.col(bucket).isin(*quotas)).withColumn("_r", rank)
+    # the literal bound lets every task keep only that many rows of a bucket before the shuffle
+    return ranked.where((F.col("_r") <= max(quotas.values())) & (F.col("_r") <= F.try_element_at(limits, F.col(bucket)))).drop("_r")
 
 
 def mixed(df: DataFrame, bucket: str, quotas: dict[str, int], key: str, seed: int = 42) -> DataFrame:
@@ -108,9 +117,9 @@ def compose(df: DataFrame, size: int, topic: str, key: str, seed: int = 42) -> D
     """Rows of a topic put together in groups of ``size`` in random order, no row twice, incomplete groups left out.
 
     Gives ``_group`` (hash of topic and number) and ``_place`` within it.  Groups form within hash
-    ranges of the key, so that a large topic is not ordered in one task.
+    parts of the key of about 5,000 rows, so that a large topic is not ordered in one task.
     """
-    part = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(64))
+    part = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(max(1, df.count() // 5000)))
     w = Window.partitionBy(topic, "_part").orderBy("_u", key)
     r = df.withColumn("_part", part).withColumn("_u", uniform(F.col(key), seed)).withColumn("_r", F.row_number().over(w) - 1)
     n = F.count("*").over(Window.partitionBy(topic, "_part"))
