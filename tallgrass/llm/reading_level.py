@@ -98,7 +98,7 @@ def features(p: Parts, table: np.ndarray) -> np.ndarray:
     t = table[p.slot]
     for b in range(len(BANDS)):
         out.append(at.row_sum(t[:, b], w.row, n) / words)
-    grade = t @ np.arange(len(BANDS))
+    grade = t[:, 1] + 2 * t[:, 2] + 3 * t[:, 3]
     out += [at.row_sum((grade < c).astype(float), w.row, n) / words for c in (-2, -1, -0.3, 0.3, 1, 2)]
     s = np.stack([np.bincount(p.sent, weights=t[:, b], minlength=ns) for b in range(len(BANDS))], axis=1) if ns else np.zeros((0, len(BANDS)))
     post = np.exp(s - s.max(axis=1, keepdims=True, initial=-1e9))
@@ -109,14 +109,15 @@ def features(p: Parts, table: np.ndarray) -> np.ndarray:
     long = np.bincount(p.sent, minlength=ns).astype(float)
     for b in range(len(BANDS)):  # the same by words instead of sentences
         out.append(at.row_sum(post[:, b] * long, p.sent_row, n) / words)
-    mean = post @ np.arange(len(BANDS)) if ns else np.zeros(0)
+    mean = post[:, 1] + 2 * post[:, 2] + 3 * post[:, 3]
     out += _stats(mean, p.sent_row, n)
     # cohesion: words carried over from the sentence before; share of distinct words
-    key = np.unique(p.sent.astype(np.uint64) << np.uint64(32) | (w.hash >> np.uint64(32)))
-    carried = np.isin(key + np.uint64(1 << 32), key)
-    out.append(at.row_sum(carried.astype(float), p.sent_row[(key >> np.uint64(32)).astype(np.int64)], n) / words)
-    both = np.unique(w.row.astype(np.uint64) << np.uint64(40) | (w.hash >> np.uint64(24)))
-    out.append(np.bincount((both >> np.uint64(40)).astype(np.int64), minlength=n) / words)
+    key = w.row.astype(np.uint64) << np.uint64(44) | (w.hash >> np.uint64(20))
+    by = np.argsort(key, kind="stable")  # equal words of a text side by side, in the order of its sentences
+    again = key[by][1:] == key[by][:-1]
+    carried = again & (np.diff(p.sent[by]) == 1)
+    out.append(np.bincount(w.row[by][1:][carried], minlength=n) / words)
+    out.append((w.count - np.bincount(w.row[by][1:][again], minlength=n)) / words)
     out.append(np.log1p(words))
     return np.stack([np.asarray(o, float) for o in out], axis=1)
 
