@@ -25,7 +25,7 @@ class Linear:
     def scores(self, x: np.ndarray, slot: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Logits of each example and label; an example's n-grams are averaged by a square root."""
         n = len(x)
-        out = x @ self.dense + self.bias
+        out = np.einsum("ij,jk->ik", x, self.dense) + self.bias  # no BLAS: its threads would fight over a worker's core
         size = np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
         for k in range(out.shape[1]):
             out[:, k] += np.bincount(row, weights=self.hashed[slot, k], minlength=n) / size
