@@ -198,7 +198,7 @@ def rated_documents(docs: DataFrame, labels: DataFrame, *, bound: int = RATED, s
     grade = F.array_position(F.array(*map(F.lit, BANDS)), band) - 1
     rated = labels.select("doc_id", grade.cast("double").alias("grade")).where("grade >= 0").groupBy("doc_id").agg(F.avg("grade").alias("grade"))
     rated = rated.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(bound)
-    return docs.where("text is not null").select("doc_id", "text", "source").join(F.broadcast(rated), "doc_id").select("text", "source", "grade").toPandas()
+    return docs.where("text is not null").select("doc_id", "text", "source").join(F.broadcast(rated), "doc_id").select("text", "source", "grade").limit(bound).toPandas()  # the limit matters where keys repeat
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, bound: int = RATED) -> Model:
