@@ -13,6 +13,8 @@ from tallgrass.plans.registry import Registry
 from tallgrass.sources.tables import table
 
 query = Registry()
+#: Most items whose kinds are broadcast to the responses; more are joined by a shuffle.
+SHIPPED = 20_000
 
 
 def last_responses(spark: SparkSession, d: str) -> DataFrame:
@@ -65,12 +67,21 @@ def repair_no_harm(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def majority_vote(spark: SparkSession, d: str) -> DataFrame:
-    """Vote of all runs on each item: every run is a sample, its family a prompt."""
-    r = last_responses(spark, d).where("response is not null")
-    r = r.withColumn("answer", F.array_join(judging.canonical_udf("response", F.size("gold"), tx.is_mcq(F.col("options"))), "; "))
-    r = r.withColumn("prompt", F.split("run", "-")[0]).withColumn("unclosed", ~tx.thinking_closed(F.col("response"))).withColumn("chars", F.length("response"))
-    v = voting.majority(r, "id", "answer", "prompt", "scan_idx", ["unclosed", "chars"], "response")
-    return v.select("id", "answer", "votes", "prompts", "score", F.length("trace").alias("trace_chars"))
+    """Vote on each item over every stored response: the family of the run is the prompt.
+
+    Exact repeats of run, id and response (rows of resumed runs) are one sample.  Text never
+    reaches a shuffle: answers are read in the scan and repeats are found by digest.
+    """
+    i = items(spark, d).select("id", F.size("gold").alias("n_gold"), tx.is_mcq(F.col("options")).alias("is_mcq"))
+    if i.count() <= SHIPPED:
+        i = F.broadcast(i)
+    r = table(spark, d, "responses", "scan_idx", "id", "run_tag", "response").where("response is not null").join(i, "id")
+    answer = F.array_join(judging.canonical_udf("response", "n_gold", "is_mcq"), "; ").alias("answer")
+    r = r.select(F.lower(F.trim("run_tag")).alias("run"), "id", F.sha2("response", 256).alias("digest"), "scan_idx", answer, (~tx.thinking_closed(F.col("response"))).alias("unclosed"), F.length("response").alias("chars"))
+    first = F.min(F.struct("scan_idx", "answer", "unclosed", "chars"))
+    r = r.groupBy("run", "id", "digest").agg(first.alias("s")).select("run", "id", "s.*").withColumn("prompt", F.split("run", "-")[0])
+    v = voting.majority(r, "id", "answer", "prompt", "scan_idx", ["unclosed", "chars"], "chars")
+    return v.select("id", "answer", "votes", "prompts", "score", F.col("trace").alias("trace_chars"))
 
 
 @query(f"""with {GRADED}, v as (select id, pred, count(*) as votes, min(scan_idx) as first_at from graded where n_boxes > 0 group by 1, 2)
