@@ -48,6 +48,33 @@ def proportional(df: DataFrame, stratum: str, target: int, key: str, seed: int =
     return _first(df, sizes, [stratum], key, seed)
 
 
+def _same(a: str, b: str, names: Sequence[str]) -> Column:
+    on = F.lit(True)
+    for n in names:
+        on = on & F.col(f"{a}.`{n}`").eqNullSafe(F.col(f"{b}.`{n}`"))
+    return on
+
+
+def _ranged(df: DataFrame, strata: Sequence[str], key: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_u`` and ``_range`` of it, and for each stratum and range the rows in smaller ranges as ``_before``."""
+    rows = df.withColumn("_u", uniform(F.col(key), seed)).withColumn("_range", F.floor(F.col("_u") * RANGES))
+    counts = rows.groupBy(*strata, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*strata).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return rows, counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+
+def numbered(df: DataFrame, strata: Sequence[str], key: str, seed: int = 42) -> DataFrame:
+    """Rows with their number from 0 in the random order of their stratum as ``_number``, and the stratum's size as ``_size``.
+
+    As in ``_first`` a large stratum is ranked in ``RANGES`` groups.
+    """
+    rows, counts = _ranged(df, strata, key, seed)
+    names = [*strata, "_range"]
+    counts = counts.withColumn("_size", F.sum("_n").over(Window.partitionBy(*strata))).select(*[F.col(f"`{n}`") for n in names], "_before", "_size")
+    place = F.row_number().over(Window.partitionBy(*names).orderBy("_u", key)) - 1
+    return rows.alias("a").join(counts.alias("b"), _same("a", "b", names)).select("a.*", "_before", "_size").withColumn("_number", F.col("_before") + place).drop("_u", "_range", "_before")
+
+
 def _first(df: DataFrame, sizes: DataFrame, strata: Sequence[str], key: str, seed: int) -> DataFrame:
     """The first ``_k`` rows of each stratum in random order.
 
@@ -56,23 +83,25 @@ def _first(df: DataFrame, sizes: DataFrame, strata: Sequence[str], key: str, see
     ranges beyond the last kept rank are left out before anything is sorted.
     """
 
-    def same(a: str, b: str, names: Sequence[str]) -> Column:
-        on = F.lit(True)
-        for n in names:
-            on = on & F.col(f"{a}.`{n}`").eqNullSafe(F.col(f"{b}.`{n}`"))
-        return on
-
-    rows = df.withColumn("_u", uniform(F.col(key), seed)).withColumn("_range", F.floor(F.col("_u") * RANGES))
-    counts = rows.groupBy(*strata, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*strata).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    needed = counts.alias("c").join(sizes.alias("s"), same("c", "s", strata)).where("_before < _k").select(*[F.col(f"c.`{n}`") for n in strata], "_range", "_before", "_k")
+    rows, counts = _ranged(df, strata, key, seed)
+    needed = counts.alias("c").join(sizes.alias("s"), _same("c", "s", strata)).where("_before < _k").select(*[F.col(f"c.`{n}`") for n in strata], "_range", "_before", "_k")
     names = [*strata, "_range"]
-    kept = rows.alias("a").join(needed.alias("b"), same("a", "b", names)).select("a.*", "_before", "_k")
+    kept = rows.alias("a").join(needed.alias("b"), _same("a", "b", names)).select("a.*", "_before", "_k")
     place = F.row_number().over(Window.partitionBy(*names).orderBy("_u", key))
     return kept.withColumn("_r", place).where("_before + _r <= _k").drop("_r", "_k", "_u", "_range", "_before")
 
 
+def draw(key: Column, n: Column, k: int, seed: int = 42) -> Column:
+    """``k`` different numbers below ``n`` by key, all of them where ``n`` is no larger; every set is as likely (Floyd's method)."""
+
+    def add(got: Column, j: Column) -> Column:
+        t = F.floor(uniform(F.concat_ws(":", key.cast("string"), j.cast("string")), seed) * (j + 1))
+        return F.concat(got, F.array(F.when(F.array_contains(got, t), j).otherwise(t)))
+
+    few = F.sequence(F.lit(0).cast("bigint"), F.greatest(n - 1, F.lit(0)))
+    return F.when(n <= k, few).otherwise(F.aggregate(F.sequence(F.greatest(n - k, F.lit(0)), F.greatest(n - 1, F.lit(0))), F.array().cast("array<bigint>"), add))
+
+
 def weighted(df: DataFrame, k: int, weight: Column, key: str, seed: int = 42) -> DataFrame:
     """``k`` rows without replacement by weight: the largest ln(u) / w."""
     w = F.greatest(weight.cast("double"), F.lit(1e-9))

@@ -105,16 +105,18 @@ def native_multi_blank(spark: SparkSession, d: str) -> DataFrame:
 def option_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Multiple-choice rows widened to ten options by wrong options of their topic, in md5 order, with the letter moved along.
 
-    Distractors come from a pool bounded per topic (the smallest md5 of its wrong options), so a
-    row never meets all options of a large topic.
+    The distinct wrong options of a topic are numbered, and each row draws ten of the numbers (all
+    if there are fewer), each set as likely as any other.  Ten are enough whichever of them are
+    the row's own options, so no row meets all options of a large topic, yet it may get any.
     """
     c = corpus(spark, d, "scan_idx", "topic", "options", "answer").where(tx.is_mcq(F.col("options"))).withColumn("topic", F.lower(F.trim(F.coalesce("topic", F.lit("")))))
     at = F.ascii("answer") - 65
     c = c.where((F.length("answer") == 1) & at.between(0, F.size("options") - 1)).withColumn("gold", F.element_at("options", (at + 1).cast("int")))
-    wrong = c.select("topic", F.explode(F.array_except("options", F.array("gold"))).alias("o")).distinct()
-    keyed = wrong.withColumn("k", F.md5("o")).groupBy("topic", F.substring("k", 1, 2).alias("slot")).agg(F.min_by("o", "k").alias("o"))
-    pool = keyed.groupBy("topic").agg(F.sort_array(F.collect_list("o")).alias("pool"))
-    e = c.join(pool, "topic", "left")
+    wrong = c.select("topic", F.explode(F.array_except("options", F.array("gold"))).alias("o")).where("o is not null").distinct()
+    pool = sampling.numbered(wrong, ["topic"], "o").select("topic", "o", F.col("_number").alias("number"))
+    rows = c.where(F.size("options") < 10).select("scan_idx", "topic").join(wrong.groupBy("topic").agg(F.count("*").alias("n")), "topic")
+    drawn = rows.select("scan_idx", "topic", F.explode(sampling.draw(F.col("scan_idx"), F.col("n"), 10)).alias("number")).join(pool, ["topic", "number"])
+    e = c.join(drawn.groupBy("scan_idx").agg(F.collect_list("o").alias("pool")), "scan_idx", "left")
     by_key = lambda x: F.md5(F.concat(F.col("scan_idx").cast("string"), F.lit(":"), x))
     order = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(by_key(x).alias("k"), x.alias("o")))), lambda s: s["o"])
     more = F.slice(order(F.array_except(F.coalesce("pool", F.array().cast("array<string>")), "options")), 1, F.greatest(F.lit(0), 10 - F.size("options")))
