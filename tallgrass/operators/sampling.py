@@ -145,12 +145,9 @@ def longest_with_share(df: DataFrame, flag: Column, target: int, share: float, l
 def compose(df: DataFrame, size: int, topic: str, key: str, seed: int = 42) -> DataFrame:
     """Rows of a topic put together in groups of ``size`` in random order, no row twice, incomplete groups left out.
 
-    Gives ``_group`` (hash of topic and number) and ``_place`` within it.  Groups form within hash
-    parts of the key of about 5,000 rows, so that a large topic is not ordered in one task.
+    Gives ``_group`` (hash of topic and number) and ``_place`` within it.  Only the last ``size - 1``
+    rows of a topic at most are left out, however many rows there are: they are numbered by
+    ``numbered``, so a large topic is not ordered in one task.
     """
-    part = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(max(1, df.count() // 5000)))
-    w = Window.partitionBy(topic, "_part").orderBy("_u", key)
-    r = df.withColumn("_part", part).withColumn("_u", uniform(F.col(key), seed)).withColumn("_r", F.row_number().over(w) - 1)
-    n = F.count("*").over(Window.partitionBy(topic, "_part"))
-    r = r.withColumn("_n", n).where(F.col("_r") < F.col("_n") - F.col("_n") % size)
-    return r.withColumn("_group", F.xxhash64(topic, "_part", F.floor(F.col("_r") / size))).withColumn("_place", (F.col("_r") % size).cast("int")).drop("_part", "_u", "_r", "_n")
+    r = numbered(df, [topic], key, seed).where(F.col("_number") < F.col("_size") - F.col("_size") % size)
+    return r.withColumn("_group", F.xxhash64(topic, F.floor(F.col("_number") / size))).withColumn("_place", (F.col("_number") % size).cast("int")).drop("_number", "_size")

@@ -38,3 +38,13 @@ def test_options_from_the_whole_topic(spark, tmp_path):
             used |= set(shown) - set(own)
     wrong = {f"w{n}{x}" for n in range(400) for x in "abc"}
     assert used <= wrong and len(used) > 0.8 * len(wrong)  # 2,400 draws of 1,200 options leave out 13 %
+
+
+def test_compose_leaves_out_only_remainders(spark):
+    n = {"large": 19_001, "small": 11, "tiny": 2, "few": 990}
+    df = spark.createDataFrame([(t, k) for t, m in n.items() for k in range(m)], "t string, k int").withColumn("id", F.concat_ws(":", "t", "k"))
+    got = sampling.compose(df, 3, "t", "id").withColumn("u", sampling.uniform(F.col("id"), 42)).toPandas()
+    assert got.groupby("t")["_group"].nunique().to_dict() == {t: m // 3 for t, m in n.items() if m >= 3}
+    assert set(got.groupby("_group")["_place"].agg(lambda x: tuple(sorted(x)))) == {(0, 1, 2)} and got["id"].is_unique
+    for _, g in got.sort_values(["u", "id"]).groupby("t"):  # groups are runs of the random order
+        assert g["_place"].tolist() == [0, 1, 2] * (len(g) // 3) and (g["_group"].to_numpy().reshape(-1, 3).T[0].repeat(3) == g["_group"]).all()
