@@ -35,8 +35,12 @@ LABELS = ("empty", "truncated", "refusal", "copy", "language")
 SAMPLE = 3000
 #: Most items whose questions are sent to the workers.
 ITEMS = 200_000
-#: Share of a run's rows that end at its greatest length, from which that length is its limit.
-AT_LIMIT = 0.005
+#: Share of a run's rows, and rows, that end at a length at least where it is the run's limit.
+AT_LIMIT, ROWS_AT_LIMIT = 0.005, 5
+#: Times the mean count of the ``BELOW`` lengths before it that a limit's count is at least.
+SPIKE, BELOW = 3, 8
+#: Longer rows for each row at a limit, at most: marks put behind a cut, and strays.
+LONGER = 0.25
 
 #: Material for broken fields: general wording of refusals, and sentences in other languages.
 REFUSE = (
@@ -81,26 +85,39 @@ def question_table(items: DataFrame) -> pd.DataFrame:
 def run_limits(responses: DataFrame) -> DataFrame:
     """``(_tag, _chars, _bytes)``: the field limit of each run in characters or bytes, null without one.
 
-    Lengths are counted per (run, length) first, so a run of any size is combined before the shuffle.
+    A limit is a length at which rows pile up against the lengths just below it, with few rows
+    above: it need not be the run's greatest length.  Lengths are counted per (run, length) first,
+    so a run of any size is combined before the shuffle.
     """
     tag = F.lower(F.trim("run_tag")).alias("_tag")
     one = responses.where("response is not null").select(tag, F.length("response").alias("c"), F.octet_length("response").alias("b"))
 
     def peak(col: str, name: str) -> DataFrame:
         at_len = one.groupBy("_tag", F.col(col).alias("l")).agg(F.count("*").alias("n"))
-        top = at_len.groupBy("_tag").agg(F.max(F.struct("l", "n")).alias("m"), F.sum("n").alias("t"))
-        return top.select("_tag", F.when((F.col("m.n") >= 5) & (F.col("m.n") >= AT_LIMIT * F.col("t")), F.col("m.l")).alias(name))
+        run, own = Window.partitionBy("_tag").orderBy("l"), Window.partitionBy("_tag")
+        below = F.coalesce(F.sum("n").over(run.rangeBetween(-BELOW, -1)), F.lit(0)) / BELOW
+        above = F.sum("n").over(own) - F.sum("n").over(run.rangeBetween(Window.unboundedPreceding, 0))
+        c = at_len.select("_tag", "l", "n", below.alias("below"), above.alias("above"), F.sum("n").over(own).alias("t"))
+        spike = (F.col("n") >= ROWS_AT_LIMIT) & (F.col("n") >= AT_LIMIT * F.col("t")) & (F.col("n") >= SPIKE * F.col("below")) & (F.col("above") <= LONGER * F.col("n"))
+        return c.groupBy("_tag").agg(F.max(F.when(spike, F.col("l"))).alias(name))
 
     return peak("c", "_chars").join(peak("b", "_bytes"), "_tag", "full")
 
 
 def with_limits(responses: DataFrame) -> DataFrame:
-    """Responses with ``_limit``: whether the row ends at its run's field limit."""
+    """Responses with ``_limit``: whether the row ends at its run's field limit; and ``_at``, the same as the models see it.
+
+    A cut within a character leaves up to three bytes less than the limit; for ``_at`` only a text
+    with such characters is taken to have been cut within one.
+    """
     limits = run_limits(responses)
     if limits.count() <= 10_000:
         limits = F.broadcast(limits)
-    near = (F.length("response") == F.col("_chars")) | (F.col("_bytes") - F.octet_length("response")).between(0, 3)
-    return responses.withColumn("_tag", F.lower(F.trim("run_tag"))).join(limits, "_tag", "left").select("scan_idx", "id", "_tag", "response", F.coalesce(near, F.lit(False)).alias("_limit"))
+    size, left = F.length("response"), F.col("_bytes") - F.octet_length("response")
+    near = (size == F.col("_chars")) | left.between(0, 3)
+    at_ = (size == F.col("_chars")) | (left == 0) | (left.between(1, 3) & (F.octet_length("response") > size))
+    joined = responses.withColumn("_tag", F.lower(F.trim("run_tag"))).join(limits, "_tag", "left")
+    return joined.select("scan_idx", "id", "_tag", "response", F.coalesce(near, F.lit(False)).alias("_limit"), F.coalesce(at_, F.lit(False)).alias("_at"))
 
 
 def bounded(df: DataFrame, bound: int, key: str = "scan_idx", seed: int = 11) -> pd.DataFrame:
@@ -355,6 +372,6 @@ def defects(sft: DataFrame, responses: DataFrame, items: DataFrame, *, bound: in
                     label = model.value.judge(fld, col.slice(a, b - a), own, q, slots, np.zeros(b - a))
                     yield told("sft_corpus", fld, batch.column(0).slice(a, b - a), label)
 
-    one = with_limits(responses).select("scan_idx", "id", "response", "_limit").mapInArrow(of_responses, schema)
+    one = with_limits(responses).select("scan_idx", "id", "response", "_at").mapInArrow(of_responses, schema)
     two = sft.select("scan_idx", "question", "answer", "response").mapInArrow(of_sft, schema)
     return one.unionByName(two)

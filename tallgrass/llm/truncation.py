@@ -1,7 +1,7 @@
 """Problem 4: find responses that were cut by a field limit or a broken transfer.
 
 Method: whole responses are cut on purpose; a hashed logistic regression is trained on their
-closing characters and words, punctuation, open brackets and boxes, and the distance to the
+closing characters and words, punctuation, open brackets and boxes, and whether they end at the
 length at which their run cuts (``pairs.run_limits``, counted over all rows); its threshold is
 calibrated on held-out cuts; then every record is scored.  Refusals, copies of the question,
 empty texts and responses in other languages are among the whole examples, so the model learns
@@ -90,7 +90,7 @@ def judged(responses: DataFrame, items: DataFrame, *, bound: int = pairs.SAMPLE)
                 got = model.value.cut(col.slice(a, b - a), own[a:b], k.questions, k.slots[own[a:b]], limit[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(got)], names=["scan_idx", "run_tag", "cut"])
 
-    given = pairs.with_limits(responses).select("scan_idx", "id", F.col("_tag").alias("run_tag"), "response", "_limit")
+    given = pairs.with_limits(responses).select("scan_idx", "id", F.col("_tag").alias("run_tag"), "response", "_at")
     return given.mapInArrow(run, "scan_idx bigint, run_tag string, cut boolean")
 
 
