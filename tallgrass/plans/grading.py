@@ -37,10 +37,10 @@ def auto_grade(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lenient_grade(spark: SparkSession, d: str) -> DataFrame:
-    """Strict against lenient grades of one run's free-form answers: the 2 x 2 table."""
-    r = last_responses(spark, d).where((F.col("run") == "pub-102") & ~tx.is_mcq(F.col("options")))
-    g = r.select(judging.grade_udf("response", "gold").alias("strict"), judging.lenient_udf("response", "gold").alias("lenient"))
-    return g.groupBy("strict", "lenient").agg(F.count("*").alias("n"))
+    """Strict against lenient grades of the free-form answers of every run: a 2 x 2 table each."""
+    r = last_responses(spark, d).where(~tx.is_mcq(F.col("options")))
+    g = r.select("run", judging.grade_udf("response", "gold").alias("strict"), judging.lenient_udf("response", "gold").alias("lenient"))
+    return g.groupBy("run", "strict", "lenient").agg(F.count("*").alias("n"))
 
 
 @query()

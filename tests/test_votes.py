@@ -30,3 +30,9 @@ def test_vote_without_broadcast(spark, tmp_path, monkeypatch):
     tables(spark, str(tmp_path), [(1, "Sum? [ANS]", None, ["7"], 0, NOW)], [(n, 1, "pub-1", f"{n} \\boxed{{{n % 2}}}", NOW) for n in range(5)])
     monkeypatch.setattr(grading, "SHIPPED", 0)
     assert [(r.answer, r.votes) for r in catalog.QUERIES["majority_vote"](spark, str(tmp_path)).collect()] == [("0", 3)]
+
+
+def test_lenient_grade_of_all_runs(spark, tmp_path):
+    tables(spark, str(tmp_path), [(1, "Sum? [ANS]", None, ["7"], 0, NOW)], [(0, 1, "pub-102", "\\boxed{7}", NOW), (1, 1, "dev-9", "\\boxed{8}", NOW), (2, 1, "x", "\\boxed{7}", NOW)])
+    got = {r.run: (r.strict, r.lenient, r.n) for r in catalog.QUERIES["lenient_grade"](spark, str(tmp_path)).collect()}
+    assert got == {"pub-102": (True, True, 1), "dev-9": (False, False, 1), "x": (True, True, 1)}
