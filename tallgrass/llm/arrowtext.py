@@ -137,6 +137,35 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(g)
 
 
+class Slots:
+    """Numbers of known hashes, by open addressing: a table at most half full, probed onwards."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(4, int(2 * len(keys) + 1).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.table = np.full(1 << bits, -1, np.int32)
+        at, left = (keys >> self.shift).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = left[self.table[at[left]] < 0]
+            self.table[at[free]] = free
+            left = left[self.table[at[left]] != left]
+            at[left] = (at[left] + 1) & (len(self.table) - 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash, -1 where it is not known."""
+        at = (h >> self.shift).astype(np.int64)
+        out = self.table[at]
+        left = np.flatnonzero(out >= 0)
+        left = left[self.keys[out[left]] != h[left]]
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.table) - 1)
+            out[left] = self.table[at[left]]
+            left = left[out[left] >= 0]
+            left = left[self.keys[out[left]] != h[left]]
+        return out
+
+
 def row_sum(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sum of ``values`` by row."""
     return np.bincount(rows, weights=values, minlength=n) if len(rows) else np.zeros(n)

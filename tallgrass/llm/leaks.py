@@ -1,26 +1,34 @@
 """Problem 7: find documents that contain passages of held-out evaluation items.
 
 Method: the test items form a BM25 inverted index whose posting lists carry block maxima.  Every
-passage of every document (windows of ``WINDOW`` words, half overlapping) is a query.  The upper
-bound of a passage, the sum of the maxima of its terms' blocks, is computed for all passages of a
-block of texts at once; a passage that stays below the
-threshold (``RARE``) is skipped without touching a
-posting, the others are scored exactly, and all items above the threshold are retrieved.  Then
-each (document, item) pair is verified on the words themselves: how many words of the item's
-question lie in runs of ``RUN`` successive words that the document has too.  Runs shared by more
-than ``SHARED`` items (answer instructions, stock phrases) do not count, so a pair needs words
-particular to the item; a divided passage counts all its parts.
-
-The index is built from eval_items alone, a fixed table of held-out questions; its size is
-checked (``ITEMS``) before it goes to the workers.  Documents are scanned once, never shuffled,
-never cut; each comes out once per leaked item.
-
-Writing is levelled first: Unicode compatibility forms, case, zero-width and soft characters,
-entities, tags and emphasis marks; punctuation separates words.
+passage of every document (windows of ``WINDOW`` words, overlapping by ``PART`` words) is a query, answered by
+block-max WAND (``Index.wand``): each term has a cursor in its postings, the pivot is the first
+item that the sum of the terms' maxima can lift to the threshold, blocks whose maxima cannot reach
+it are jumped over, and only items that survive are scored.  All passages of a block of texts
+advance in step, so a round is a few numpy calls.  All items at or above the threshold are
+retrieved; it is set for each item by the item itself, so that nearly every part of ``PART`` words
+particular to it reaches it, and impacts are divided by it.
+
+Each (document, item) pair is then verified on the words themselves.  A word of the question is
+covered where it lies in a run of ``RUN`` successive words that the document has too, and counts
+with the rarity of the run among the items: runs that many items share (answer instructions,
+stock phrases) weigh little, however often one question is exported.  All parts of a divided
+passage add up.  ``WORDS`` covered words verify a pair, or ``SHARE`` of all words of a question
+shorter than that.  A pair with less, down to ``NEARLY`` of it, is verified if the document
+has the item's answers too (``ANSWER`` letters or digits of them at least).
+
+The index holds 8 bytes a posting.  Its size is checked before it goes to the workers: question
+texts beyond ``SHARD_BYTES`` are split by id into several indexes with counts over all items, and
+the documents are scanned once for each.  Documents are never shuffled, never cut; each comes out
+once per leaked item.
+
+Writing is levelled first: Unicode compatibility forms, accents, case, zero-width and soft
+characters, entities, tags, emphasis and sizes of formulas; any mark separates words, and in
+scripts without blanks each character is a word.
 
 Defined results: null and empty texts contain nothing; repeated documents each count; an id that
 eval_items lists more than once is one item with the union of its texts; a null question is no
-item.  Extra columns are ignored.
+item, nor is one of fewer than ``LEAST`` words.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,142 +44,280 @@ from pyspark.sql import functions as F
 
 from tallgrass.llm import arrowtext as at
 
-WINDOW, STRIDE = 24, 12
-RUN = 4
-SHARED = 4
-#: Words of the question that must recur, in runs.
-WORDS = 16
-#: BM25 score from which an item counts as retrieved, in weights of a word that one item has.
-RARE = 3.0
+WINDOW, STRIDE = 24, 14
+RUN = 3
+#: Words of the question that must recur, and share of a shorter question's words.
+WORDS, SHARE = 14.0, 0.8
+#: Fewest words of a question that is an item.
+LEAST = 5
+#: Share of the words that suffice together with the answers, and the letters and digits these must have.
+NEARLY, ANSWER = 0.85, 6
+#: Words of a part that shall be retrieved by itself, and share of an item's parts that may not be.
+PART, MISSED = 10, 0.15
 K1, B = 1.2, 0.75
-#: Items per posting block.
-BLOCK = 16
-#: Most cells of the posting tables that are kept at a time.
-KEPT = 32_000_000
-#: Most rows of eval_items for which the index is shipped to the workers.
-ITEMS = 200_000
+#: Postings per block.
+BLOCK = 32
+#: Passages that advance in step.
+TOGETHER = 4096
+#: Most bytes of question texts in one index.
+SHARD_BYTES = 8 << 20
 
 
 def level(col: pa.Array) -> pa.Array:
     """Texts in one writing: see the module."""
-    col = pc.utf8_normalize(at.plain(col), form="NFKC")
-    col = pc.replace_substring_regex(col, r"[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]", "")
+    col = pc.replace_substring_regex(at.plain(col), r"\\(?:left|right|displaystyle|text[a-z]*|math[a-z]+|emph|[,;:! ])|[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]", "")
+    col = pc.replace_substring_regex(col, r"\\[dt]frac", r"\\frac")
     col = pc.replace_substring_regex(col, r"&(?:nbsp|amp|lt|gt|quot|#39|#160);", " ")
     col = pc.replace_substring_regex(col, r"</?[A-Za-z][A-Za-z0-9]{0,9}(?: [^<>]{0,60})?/?>", "")
     col = pc.replace_substring_regex(col, r"[_*`~]+", "")
+    foreign = pc.invert(pc.string_is_ascii(col))
+    if pc.any(foreign).as_py():
+        far = pc.utf8_normalize(col.filter(foreign), form="NFKD")
+        far = pc.replace_substring_regex(far, r"[\x{0300}-\x{036F}\x{00AD}\x{200B}-\x{200F}]", "")
+        far = pc.replace_substring_regex(far, r"[\p{P}\p{S}\p{Z}]", " ")
+        far = pc.replace_substring_regex(far, r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])", r" \1 ")
+        col = pc.replace_with_mask(col, foreign, far)
     return pc.utf8_lower(col)
 
 
 class Index:
-    """BM25 index of item texts with block maxima, and the runs used for verification."""
+    """BM25 index of item texts with block maxima, and the runs used for verification.
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    ``counts`` gives, where the index holds a part of the items only, the number of items, their
+    mean length, and for term and run hashes (sorted) the number of items that have them.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], answers: list[list[str]] | None = None, counts: dict | None = None):
         w = _words(level(pa.array(texts, pa.string())))
         self.ids = np.array(ids, np.int64)
         n = len(ids)
-        vocab, term = np.unique(w.hash, return_inverse=True)
-        pair, tf = np.unique(term.astype(np.int64) * max(n, 1) + w.row, return_counts=True)
+        self.items = n
+        own = counts or _count(w, self.ids)
+        total = max(own["items"], 1)
+        self.slots = at.Slots(np.unique(w.hash))
+        vocab = self.slots.keys
+        pair, tf = np.unique(np.searchsorted(vocab, w.hash).astype(np.int64) * max(n, 1) + w.row, return_counts=True)
         t, d = pair // max(n, 1), pair % max(n, 1)
-        df = np.bincount(t, minlength=len(vocab))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        size = w.count / max(w.count.mean() if n else 1.0, 1.0)
-        impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[d]))
-        bits = 14
-        while len(np.unique(vocab >> np.uint64(64 - bits))) < len(vocab):  # until each term has a slot of its own
-            bits += 1
-        self.shift = np.uint64(64 - bits)
-        self.slot = np.full(1 << bits, len(vocab), np.int32)
-        self.slot[(vocab >> self.shift).astype(np.int64)] = np.arange(len(vocab))
-        self.vocab = vocab
-        self.threshold = RARE * float(np.log1p((n - 0.5) / 1.5)) if n else 0.0
-        self.term, self.item, self.impact = t, d.astype(np.int32), impact.astype(np.float32)
-        self.tables: dict[int, np.ndarray] = {}
-        blocks = d // BLOCK
-        self.blocks = int(blocks.max()) + 1 if n and len(d) else 1
-        self.block_max = np.zeros((len(vocab) + 1, self.blocks), np.float32)  # the last row: no such term
-        np.maximum.at(self.block_max, (t, blocks), self.impact)
-        self.term_max = self.block_max.max(axis=1)
-        # runs: hash -> (item, position), without those many items share
+        df = np.minimum(_lookup(own["term"], own["term_df"], vocab), total)
+        self.idf = np.log1p((total - df + 0.5) / (df + 0.5)).astype(np.float32)
+        size = w.count / max(own["mean"], 1.0)
+        impact = self.idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[d]))
+        # runs: (item, position) by hash, and how rare each is among the items
         runs, row, pos = _runs(w)
-        once = np.unique(np.stack([runs, self.ids[row].astype(np.uint64)]), axis=1)[0] if len(runs) else runs
-        name, many = np.unique(once, return_counts=True)
-        keep = np.isin(runs, name[many <= SHARED])
-        order = np.argsort(runs[keep], kind="stable")
-        self.run, self.run_item, self.run_pos = runs[keep][order], row[keep][order], pos[keep][order]
-
-    def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Term number of each word hash; the vocabulary size where there is none."""
-        k = self.slot[(h >> self.shift).astype(np.int64)]
-        if not len(self.vocab):
-            return k
-        return np.where(self.vocab[np.minimum(k, len(self.vocab) - 1)] == h, k, len(self.vocab))
+        rare = np.log((total + 1) / np.maximum(_lookup(own["run"], own["run_df"], runs), 1)) / np.log(total + 1)
+        rare = np.clip(rare, 0, 1) ** 2 if len(runs) else rare
+        longest = int(w.count.max(initial=0)) + RUN
+        weight = np.zeros(n * longest if len(runs) else 0)
+        for k in range(RUN):
+            np.maximum.at(weight, row * longest + pos + k, rare)
+        whole = weight.reshape(n, longest).sum(axis=1) if len(weight) else np.zeros(n)
+        self.need = np.where(w.count < LEAST, np.inf, np.minimum(WORDS, np.where(w.count < 8, 0.999, SHARE) * whole))
+        self.need[self.need <= 0] = np.inf
+        impact /= self._enough(w, pair, impact, weight.reshape(n, longest) if len(weight) else weight)[d]
+        self.start = np.searchsorted(t, np.arange(len(vocab) + 2)).astype(np.int64)  # the last, a term without postings, pads
+        self.item, self.impact = d.astype(np.int32), impact.astype(np.float32)
+        chunk = np.arange(len(t)) - self.start[t]
+        head = np.flatnonzero(chunk % BLOCK == 0)
+        self.block_start = np.searchsorted(t[head], np.arange(len(vocab) + 2)).astype(np.int64)
+        self.block_head = head.astype(np.int64)
+        self.block_max = np.maximum.reduceat(self.impact, head) if len(head) else np.zeros(0, np.float32)
+        self.block_last = self.item[np.append(head[1:], len(t)) - 1] if len(head) else np.zeros(0, np.int32)
+        self.term_max = np.append(np.maximum.reduceat(self.impact, self.start[:-2]) if len(vocab) else [], 0).astype(np.float32)
+        order = np.argsort(runs, kind="stable")
+        self.run, self.run_item, self.run_pos, self.run_rare = runs[order], row[order].astype(np.int32), pos[order].astype(np.int32), rare[order].astype(np.float32)
+        self.answers = [_answer_words(a) for a in answers] if answers else [[] for _ in ids]
+
+    @staticmethod
+    def _enough(w: at.Words, pair: np.ndarray, impact: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """BM25 score from which each item counts as retrieved.
+
+        All but ``MISSED`` of its own parts of ``PART`` words reach it; parts that hardly weigh in
+        verification do not count.  An item without such parts takes most of its own score.
+        """
+        n = w.rows
+        out = np.ones(n)
+        if not len(pair):
+            return out
+        term = np.searchsorted(np.unique(w.hash), w.hash).astype(np.int64)
+        at_ = impact[np.searchsorted(pair, term * n + w.row)]
+        one, first = np.unique(w.row * np.int64(len(w.hash) + 1) + term, return_index=True)
+        whole = np.bincount(w.row[first], weights=at_[first], minlength=n)
+        for r in range(n):
+            a, b = w.first[r], w.first[r + 1]
+            if b - a < PART:
+                out[r] = max(0.7 * whole[r], 1e-6)
+                continue
+            view, names, heavy = (np.lib.stride_tricks.sliding_window_view(x, PART) for x in (at_[a:b], term[a:b], weight[r, : b - a]))
+            again = np.sort(names, axis=1)
+            repeats = np.zeros(len(view))
+            for i in np.flatnonzero((again[:, 1:] == again[:, :-1]).any(axis=1)):  # a passage asks for a term once
+                _, k = np.unique(names[i], return_index=True)
+                repeats[i] = view[i].sum() - view[i][k].sum()
+            score = view.sum(axis=1) - repeats
+            fair = heavy.mean(axis=1) >= 0.7
+            out[r] = max(np.quantile(score[fair] if fair.any() else score, MISSED), 1e-6)
+        return out
+
+    def nbytes(self) -> int:
+        """Bytes of the index."""
+        return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray)) + self.slots.keys.nbytes + self.slots.table.nbytes
 
     def retrieve(self, w: at.Words) -> np.ndarray:
         """Distinct (row, item) pairs, as row * items + item, with a passage above the threshold."""
-        term = self.lookup(w.hash)
-        known = np.flatnonzero(term < len(self.vocab))
+        nothing = np.zeros(0, np.int64)
+        term = self.slots.find(w.hash)
+        known = np.flatnonzero(term >= 0)
         if not len(known):
-            return np.zeros(0, np.int64)
-        n = max(len(self.ids), 1)
+            return nothing
+        term = term[known].astype(np.int64)
         place = known - w.first[w.row[known]]
         slots = w.count // STRIDE + 1
         base = np.concatenate([[0], np.cumsum(slots)])
-        hi = base[w.row[known]] + place // STRIDE  # a word lies in its own window and the one before
-        lo = np.where(place >= STRIDE, hi - 1, -1)
-        passage = np.concatenate([hi, lo[lo >= 0]])
-        word = np.concatenate([term[known], term[known][lo >= 0]])
-        bound = np.bincount(passage, weights=self.term_max[word], minlength=base[-1])  # repeats only raise it
-        alive = bound[passage] >= self.threshold
-        both = np.unique(passage[alive] * (len(self.vocab) + 1) + word[alive])  # a passage asks for a term once
-        passage, word = both // (len(self.vocab) + 1), both % (len(self.vocab) + 1)
-        alive = np.bincount(passage, weights=self.term_max[word], minlength=base[-1])[passage] >= self.threshold
+        hi = base[w.row[known]] + place // STRIDE  # a word lies in its own window, and the one before where they overlap
+        lo = np.where((place >= STRIDE) & (place % STRIDE < WINDOW - STRIDE), hi - 1, -1)
+        passage, word = np.concatenate([hi, lo[lo >= 0]]), np.concatenate([term, term[lo >= 0]])
+        alive = np.bincount(passage, weights=self.term_max[word], minlength=base[-1])[passage] >= 1  # repeats only raise it
+        terms = len(self.slots.keys)
+        both = np.unique(passage[alive] * terms + word[alive])  # a passage asks for a term once
+        passage, word = both // terms, both % terms
+        alive = np.bincount(passage, weights=self.term_max[word], minlength=base[-1])[passage] >= 1
         passage, word = passage[alive], word[alive]
         if not len(passage):
-            return np.zeros(0, np.int64)
-        starts = np.flatnonzero(np.diff(passage, prepend=-1))
-        size = np.diff(np.append(starts, len(passage)))
-        doc = np.searchsorted(base, passage[starts], side="right") - 1
+            return nothing
+        head = np.flatnonzero(np.diff(passage, prepend=-1))
+        size = np.diff(np.append(head, len(passage)))
+        doc = np.searchsorted(base, passage[head], side="right") - 1
         found = []
-        bounds = np.add.reduceat(self.block_max[word], starts, axis=0)  # passages by blocks
-        for b in range(self.blocks):  # only passages whose bound in a block reaches the threshold are scored there
-            hot = np.flatnonzero(bounds[:, b] >= self.threshold)
-            if not len(hot):
-                continue
-            first = np.cumsum(size[hot]) - size[hot]
-            own = np.arange(size[hot].sum()) - np.repeat(first, size[hot]) + np.repeat(starts[hot], size[hot])
-            score = np.add.reduceat(self._block(b)[word[own]], first, axis=0)
-            p, k = np.nonzero(score >= self.threshold)
-            found.append(doc[hot[p]] * n + b * BLOCK + k)
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-
-    def _block(self, b: int) -> np.ndarray:
-        """Postings of one block of items as a table: term by item of the block."""
-        if b not in self.tables:
-            t = np.zeros((len(self.vocab) + 1, BLOCK), np.float32)
-            mine = np.flatnonzero(self.item // BLOCK == b)
-            t[self.term[mine], self.item[mine] % BLOCK] = self.impact[mine]
-            if len(self.tables) * t.size > KEPT:  # a large index keeps few tables at a time
-                self.tables.clear()
-            self.tables[b] = t
-        return self.tables[b]
-
-    def verify(self, w: at.Words, pairs: np.ndarray) -> np.ndarray:
-        """Of the retrieved pairs, those in which enough words of the item recur."""
-        if not len(pairs):
-            return pairs
-        n = len(self.ids)
-        rows = np.unique(pairs // n)
-        runs, row, _ = _runs(w, rows)
+        for a in range(0, len(head), TOGETHER):
+            b = min(a + TOGETHER, len(head))
+            grid = np.full((b - a, int(size[a:b].max())), terms, np.int64)
+            grid[np.repeat(np.arange(b - a), size[a:b]), np.arange(size[a:b].sum()) - np.repeat(np.cumsum(size[a:b]) - size[a:b], size[a:b])] = word[head[a] : head[a] + size[a:b].sum()]
+            p, item = self.wand(grid)
+            found.append(doc[a + p] * self.items + item)
+        return np.unique(np.concatenate(found))
+
+    def _block(self, term: np.ndarray, at_: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks from those of ``at_`` on in which the items ``target`` would lie, and whether there is one."""
+        block = self.block_start[term] + (at_ - self.start[term]) // BLOCK
+        end = self.block_start[term + 1]
+        far = np.flatnonzero((block < end) & (self.block_last[np.minimum(block, len(self.block_last) - 1)] < target))
+        lo, hi, want = block[far] + 1, end[far], target[far]
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) >> 1
+            low = open_ & (self.block_last[np.minimum(mid, len(self.block_last) - 1)] < want)
+            lo, hi = np.where(low, mid + 1, lo), np.where(open_ & ~low, mid, hi)
+        block[far] = lo
+        return block, block < end
+
+    def _seek(self, term: np.ndarray, at_: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Places of the first postings behind ``at_`` with an item of at least ``target``."""
+        stop = self.start[term + 1]
+        at_ = at_ + 1
+        far = np.flatnonzero((at_ < stop) & (self.item[np.minimum(at_, len(self.item) - 1)] < target))
+        if not len(far):
+            return at_
+        g, want = term[far], target[far]
+        block, inside = self._block(g, at_[far], want)
+        lo = np.where(inside, np.maximum(self.block_head[np.minimum(block, len(self.block_head) - 1)], at_[far]), stop[far])
+        hi = np.where(inside, np.minimum(self.block_head[np.minimum(block, len(self.block_head) - 1)] + BLOCK, stop[far]), stop[far])
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) >> 1
+            low = open_ & (self.item[np.minimum(mid, len(self.item) - 1)] < want)
+            lo, hi = np.where(low, mid + 1, lo), np.where(open_ & ~low, mid, hi)
+        at_[far] = lo
+        return at_
+
+    def wand(self, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Passages (rows of ``grid``, term numbers, padded with the number of terms) and items that reach 1."""
+        end = np.int32(self.items)
+        p = np.arange(len(grid))
+        at_ = self.start[grid]
+        item = np.where(at_ < self.start[grid + 1], self.item[np.minimum(at_, len(self.item) - 1)], end)
+        bound = self.term_max[grid]
+        got_p, got_i = [], []
+        while len(p):
+            order = np.argsort(item, axis=1)
+            can = np.cumsum(np.take_along_axis(bound, order, axis=1), axis=1) >= 1 - 1e-5
+            pivot = np.take_along_axis(item, np.take_along_axis(order, can.argmax(axis=1)[:, None], axis=1), axis=1)[:, 0]
+            live = can[:, -1] & (pivot < end)
+            if not live.all():
+                p, item, at_, grid, bound, pivot = p[live], item[live], at_[live], grid[live], bound[live], pivot[live]
+                if not len(p):
+                    break
+            upto = item <= pivot[:, None]  # the terms that can have the pivot
+            r, c = np.nonzero(upto)
+            g, x, want, now = grid[r, c], at_[r, c], pivot[r], item[r, c]
+            block, inside = self._block(g, x, want)
+            block = np.minimum(block, len(self.block_last) - 1)
+            most = np.bincount(r, weights=np.where(inside, self.block_max[block], 0), minlength=len(p))
+            hope = most >= 1 - 1e-5
+            here = now == want
+            # without hope: on behind the nearest end of these blocks, or to the next term's item
+            edge = np.full(len(p), end)
+            np.minimum.at(edge, r, np.where(inside, self.block_last[block] + 1, end).astype(np.int32))
+            beyond = np.where(upto, end, item).min(axis=1)
+            target = np.where(hope, pivot, np.minimum(edge, beyond))
+            # with hope and all terms there: score, then on by one item
+            ready = hope & (np.bincount(r, weights=~here, minlength=len(p)) == 0)
+            full = np.flatnonzero(ready[r])
+            score = np.bincount(r[full], weights=self.impact[x[full]], minlength=len(p))
+            hit = ready & (score >= 1 - 1e-5)
+            got_p.append(p[hit])
+            got_i.append(pivot[hit])
+            target = np.where(ready, pivot + 1, target)
+            go = np.flatnonzero(now < target[r])
+            to = self._seek(g[go], x[go], target[r[go]])
+            at_[r[go], c[go]] = to
+            item[r[go], c[go]] = np.where(to < self.start[g[go] + 1], self.item[np.minimum(to, len(self.item) - 1)], end)
+        return (np.concatenate(got_p), np.concatenate(got_i).astype(np.int64)) if got_p else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def covered(self, w: at.Words, pairs: np.ndarray) -> np.ndarray:
+        """Words of the item, weighed by rarity, that recur in each of the pairs (sorted, as of ``retrieve``)."""
+        n = self.items
+        out = np.zeros(len(pairs))
+        runs, row, _ = _runs(w, np.unique(pairs // n))
         s, e = np.searchsorted(self.run, runs, side="left"), np.searchsorted(self.run, runs, side="right")
         hits = np.repeat(np.arange(len(runs)), e - s)
         at_ = np.arange(len(hits)) - np.repeat(np.cumsum(e - s) - (e - s), e - s) + np.repeat(s, e - s)
-        pair, pos = row[hits] * n + self.run_item[at_], self.run_pos[at_]
-        keep = np.isin(pair, pairs)
-        pair, pos = pair[keep], pos[keep]
-        longest = 1 << 20
-        covered = np.unique(np.concatenate([pair * longest + pos + k for k in range(RUN)])) // longest
-        p, words = np.unique(covered, return_counts=True)
-        return p[words >= WORDS]
+        pair = row[hits] * n + self.run_item[at_]
+        k = np.searchsorted(pairs, pair)
+        ok = np.flatnonzero((k < len(pairs)) & (pairs[np.minimum(k, len(pairs) - 1)] == pair)) if len(pairs) else np.zeros(0, np.int64)
+        if not len(ok):
+            return out
+        k, at_ = k[ok], at_[ok]
+        longest = np.int64(self.run_pos.max() + RUN + 1)
+        name = np.concatenate([k * longest + self.run_pos[at_] + j for j in range(RUN)])
+        rare = np.tile(self.run_rare[at_], RUN)
+        order = np.argsort(name, kind="stable")
+        name, rare = name[order], rare[order]
+        head = np.flatnonzero(np.diff(name, prepend=-1))
+        return np.bincount(name[head] // longest, weights=np.maximum.reduceat(rare, head), minlength=len(pairs))
+
+    def verify(self, w: at.Words, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the retrieved pairs those that hold: the pairs, their covered words, whether the answers recur."""
+        words = self.covered(w, pairs) if len(pairs) else np.zeros(0)
+        share = words / self.need[pairs % max(self.items, 1)]
+        near = np.flatnonzero(share >= NEARLY)
+        answered = np.array([self._answered(w, int(p)) for p in pairs[near]], bool)
+        keep = (share[near] >= 1 - 1e-9) | answered
+        return pairs[near][keep], words[near][keep], answered[keep]
+
+    def _answered(self, w: at.Words, pair: int) -> bool:
+        """Whether every answer of the item stands in the text, as a run of words."""
+        answers = self.answers[pair % self.items]
+        if sum(a[1] for a in answers) < ANSWER:
+            return False
+        row = pair // self.items
+        own = w.hash[w.first[row] : w.first[row + 1]]
+        return all(len(own) >= len(a) and bool(np.isin(at.ngrams(own, len(a)), at.ngrams(a, len(a))).any()) for a, _ in answers)
+
+
+def _answer_words(answers: list[str] | None) -> list[tuple[np.ndarray, int]]:
+    """Word hashes of each answer that has words, with its number of letters and digits."""
+    texts = [a for a in answers or [] if a]
+    w = _words(level(pa.array(texts, pa.string())))
+    size = at.row_sum((w.end - w.start).astype(float), w.row, w.rows)
+    return [(w.hash[w.first[r] : w.first[r + 1]], int(size[r])) for r in range(w.rows) if w.count[r]]
 
 
 def _words(col: pa.Array) -> at.Words:
@@ -189,30 +335,111 @@ def _runs(w: at.Words, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.n
     return g[i], row[i].astype(np.int64), i - w.first[row[i]]
 
 
-def build_index(items: DataFrame, *, item_key: str = "id", question: str = "question") -> Index:
-    """The index of the held-out items, after a check of their number."""
-    rows = items.select(F.col(item_key).alias("id"), F.col(question).alias("q")).where("id is not null and q is not null").distinct()
-    if (count := rows.count()) > ITEMS:
-        raise ValueError(f"{count} held-out items; the shipped index is for at most {ITEMS}")
-    got = rows.orderBy("id", "q").toPandas()
-    return Index(got["id"].tolist(), got["q"].tolist())
+def _lookup(keys: np.ndarray, values: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Values of sorted keys, all of which exist."""
+    return values[np.searchsorted(keys, want)] if len(want) else np.zeros(0, np.int64)
 
 
-def leaked(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "id") -> DataFrame:
-    """``(key, item_key)``, once per pair: one scan of two columns, no shuffle."""
-    index = docs.sparkSession.sparkContext.broadcast(build_index(items, item_key=item_key))
+def _text_hash(w: at.Words) -> np.ndarray:
+    """A hash of each row's words in order."""
+    with np.errstate(over="ignore"):
+        place = (np.arange(len(w.hash)) - w.first[w.row]).astype(np.uint64)
+        mixed = at.mix(w.hash ^ at.mix(place + np.uint64(1)))
+        total = np.append(np.uint64(0), np.cumsum(mixed, dtype=np.uint64))
+        return at.mix(total[w.first[1:]] - total[w.first[:-1]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
+
+def _tokens(w: at.Words) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    yield "term", w.hash, w.row
+    runs, row, _ = _runs(w)
+    yield "run", runs, row
+
+
+def _count(w: at.Words, ids: np.ndarray) -> dict:
+    """Items that have each term and run: distinct ids or distinct texts, whichever are fewer."""
+    text = _text_hash(w)
+    full = np.flatnonzero(w.count > 0)
+    out = {"items": min(len(np.unique(ids[full])), len(np.unique(text[full]))), "mean": float(w.count.mean()) if w.rows else 0.0}
+    for kind, h, row in _tokens(w):
+        keys = np.unique(h)
+        k = np.searchsorted(keys, h)
+        many = [np.unique(np.stack([k, np.unique(of, return_inverse=True)[1][row]]), axis=1)[0] for of in (ids, text)]
+        out[kind], out[f"{kind}_df"] = keys, np.minimum(*(np.bincount(m, minlength=len(keys)) for m in many)) if len(keys) else np.zeros(0, np.int64)
+    return out
+
+
+def _item_rows(items: DataFrame, item_key: str, question: str, answer: str) -> DataFrame:
+    """Distinct (id, question) with answers; an id's re-exports with other answers are one row each text."""
+    gold = F.col(answer).cast("array<string>") if answer in items.columns else F.lit(None).cast("array<string>")
+    rows = items.select(F.col(item_key).cast("bigint").alias("id"), F.col(question).alias("q"), gold.alias("a")).where("id is not null and q is not null")
+    return rows.groupBy("id", "q").agg(F.max("a").alias("a"))
+
+
+def _far_counts(rows: DataFrame) -> tuple[DataFrame, dict]:
+    """Counts of terms and runs over all items, distributed, and their number and mean length."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = at.plain(batch.column(1))
-            for a, b in at.blocks(raw):
-                w = _words(level(raw.slice(a, b - a)))
-                pairs = ix.verify(w, ix.retrieve(w)) if len(ix.ids) else np.zeros(0, np.int64)
-                if len(pairs):
-                    row, item = pairs // len(ix.ids), ix.ids[pairs % len(ix.ids)]
-                    once = pd.DataFrame({"r": row, "i": item}).drop_duplicates()
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(once["r"].to_numpy() + a)), pa.array(once["i"].to_numpy())], names=[key, item_key])
+            w = _words(level(batch.column(1)))
+            ids, text = batch.column(0).to_numpy(zero_copy_only=False), _text_hash(w).view(np.int64)
+            for kind, h, row in [("item", w.count.astype(np.uint64), np.arange(w.rows)), *_tokens(w)]:
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(ids[row]), pa.array(text[row])], names=["kind", "h", "id", "t"])
+
+    seen = rows.select("id", "q").mapInArrow(emit, "kind string, h bigint, id bigint, t bigint")
+    few = F.least(F.count_distinct("id"), F.count_distinct("t")).alias("df")
+    whole = seen.where("kind = 'item'").agg(F.least(F.count_distinct(F.when(F.col("h") > 0, F.col("id"))), F.count_distinct(F.when(F.col("h") > 0, F.col("t")))).alias("n"), F.avg("h").alias("m")).first()
+    return seen.where("kind <> 'item'").groupBy("kind", "h").agg(few), {"items": whole.n, "mean": whole.m or 0.0}
 
+
+def build_indexes(items: DataFrame, *, item_key: str = "id", question: str = "question", answer: str = "answer") -> Iterator[Index]:
+    """The indexes of the held-out items: one, or one for each part of the ids where the texts are large."""
+    rows = _item_rows(items, item_key, question, answer)
+    size = rows.agg(F.sum(F.octet_length("q"))).first()[0] or 0
+    parts = -(-size // SHARD_BYTES)
+    if parts <= 1:
+        got = rows.orderBy("id", "q").collect()
+        yield Index([r.id for r in got], [r.q for r in got], [r.a for r in got])
+        return
+    df, base = _far_counts(rows)
+    for k in range(parts):
+        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)
+        got = part.orderBy("id", "q").collect()
+        w = _words(level(pa.array([r.q for r in got], pa.string())))
+        counts = dict(base)
+        for kind, h, _ in _tokens(w):
+            keys = np.unique(h)
+            mine = items.sparkSession.createDataFrame(pa.table({"h": keys.view(np.int64)}))
+            table = df.where(F.col("kind") == kind).join(mine, "h", "left_semi").select("h", "df").toArrow()
+            names = table["h"].to_numpy().view(np.uint64)
+            order = np.argsort(names)
+            counts[kind], counts[f"{kind}_df"] = names[order], table["df"].to_numpy()[order]
+        yield Index([r.id for r in got], [r.q for r in got], [r.a for r in got], counts)
+
+
+def evidence(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "id") -> DataFrame:
+    """``(key, item_key, words, answered)``, once per pair: a scan of two columns, no shuffle, for each index."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key], docs[text].cast("string").alias("_text")).mapInArrow(run, f"`{key}` {kind}, `{item_key}` bigint")
+    out = None
+    for made in build_indexes(items, item_key=item_key):
+        index = docs.sparkSession.sparkContext.broadcast(made)
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            ix = index.value
+            for batch in batches:
+                raw = at.plain(batch.column(1))
+                for a, b in at.blocks(raw):
+                    w = _words(level(raw.slice(a, b - a)))
+                    pairs, words, answered = ix.verify(w, ix.retrieve(w)) if ix.items else (np.zeros(0, np.int64),) * 3
+                    if len(pairs):
+                        told = pd.DataFrame({"r": pairs // ix.items, "i": ix.ids[pairs % ix.items], "w": words, "a": answered})
+                        told = told.sort_values("w", ascending=False).drop_duplicates(["r", "i"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(told["r"].to_numpy() + a)), pa.array(told["i"].to_numpy()), pa.array(told["w"].to_numpy()), pa.array(told["a"].to_numpy(bool))], names=[key, item_key, "words", "answered"])
+
+        part = docs.select(docs[key], docs[text].cast("string").alias("_text")).mapInArrow(run, f"`{key}` {kind}, `{item_key}` bigint, words double, answered boolean")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def leaked(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "id") -> DataFrame:
+    """``(key, item_key)``, once per pair."""
+    return evidence(docs, items, key=key, text=text, item_key=item_key).select(key, item_key)

@@ -67,6 +67,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items, the documents that leak each, and the most words of it that one of them has."""
+    rows = leaks.evidence(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return rows.groupBy("id").agg(F.count("*").alias("documents"), F.max("words").alias("most_words"), F.count_if("answered").alias("answered"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Level of schooling of English documents."""
     return reading_level.levels(table(spark, d, "documents"), table(spark, d, "level_labels"))
@@ -79,7 +85,7 @@ def p8_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "source string, n bigint, accuracy double, mae double")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_sample, p2_seats, p3_found, p3_packed, p3_space, p4_found, p4_rates, p6_ids, p7_found, p8_found, p8_accuracy)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_sample, p2_seats, p3_found, p3_packed, p3_space, p4_found, p4_rates, p6_ids, p7_found, p7_items, p8_found, p8_accuracy)}
 
 _CAT = "regexp_replace(lower(trim({0})), '[\\s_-]+', '_', 'g')"
 SQL = {
