@@ -56,7 +56,7 @@ NEARLY, ANSWER = 0.85, 6
 PART, MISSED = 10, 0.15
 K1, B = 1.2, 0.75
 #: Postings per block.
-BLOCK = 32
+BLOCK = 8
 #: Passages that advance in step.
 TOGETHER = 4096
 #: Most bytes of question texts in one index.
