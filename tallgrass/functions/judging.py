@@ -176,6 +176,18 @@ def equal(pred: str, gold: str, tolerance: float = 1e-8, lists: bool = True) ->
     return any(compare(k, pred, gold, tolerance) for k in KINDS if lists or k not in ("UOL", "OL"))
 
 
+def cause(response: str, gold: Sequence[str]) -> str:
+    """Why a response is wrong: nothing extracted, another count, or its main value error; ``ok`` where it is right."""
+    said = an.extract(response)
+    got = br.top_commas(said) if said else []
+    if not got:
+        return "noextract"
+    if len(got) != len(gold):
+        return "align"
+    right = all(equal(an.normal(p), an.normal(g)) for p, g in zip(got, gold))
+    return "ok" if right else row_error(got, gold)
+
+
 def grade(response: str, gold: Sequence[str], kinds: Sequence[str] | None = None, tolerance: float = 1e-8, keep_sign: bool = False, strict: bool = False) -> bool:
     """Whether a response's answers are the gold ones: extract, cut, normalise, count, compare by place.
 
@@ -299,16 +311,11 @@ def equal_udf(pred: pd.Series, gold: pd.Series) -> pd.Series:
     return pd.Series([p is not None and g is not None and equal(an.normal(p), an.normal(g)) for p, g in zip(pred, gold)])
 
 
-@F.pandas_udf(T.StringType())
-def normal_udf(answer: pd.Series) -> pd.Series:
-    """Normal form of an answer."""
-    return pd.Series([None if a is None else an.normal(a) for a in answer])
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def extracted_udf(response: pd.Series) -> pd.Series:
     """Answers a response gives, cut at top-level commas."""
-    return pd.Series([[] if r is None or not an.extract(r) else br.top_commas(an.extract(r)) for r in response])
+    said = ("" if r is None else an.extract(r) for r in response)
+    return pd.Series([br.top_commas(s) if s else [] for s in said])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -331,9 +338,15 @@ def repaired_udf(response: pd.Series, blanks: pd.Series) -> pd.DataFrame:
 
 
 @F.pandas_udf(T.StringType())
-def row_error_udf(pred: pd.Series, gold: pd.Series) -> pd.Series:
-    """Main error of each row."""
-    return pd.Series([None if p is None or g is None else row_error(list(p), list(g)) for p, g in zip(pred, gold)])
+def cause_udf(response: pd.Series, gold: pd.Series) -> pd.Series:
+    """Why each response is wrong; answers are extracted once."""
+    return pd.Series(["noextract" if r is None or g is None else cause(r, list(g)) for r, g in zip(response, gold)])
+
+
+@F.pandas_udf(T.BooleanType())
+def any_order_udf(pred: pd.Series, gold: pd.Series) -> pd.Series:
+    """Whether some order of the predictions matches."""
+    return pd.Series([p is not None and g is not None and any_order(list(p), list(g)) for p, g in zip(pred, gold)])
 
 
 @F.pandas_udf(T.IntegerType())

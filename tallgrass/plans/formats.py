@@ -45,10 +45,15 @@ def letter_bias(spark: SparkSession, d: str) -> DataFrame:
     return graded(spark, d).where("is_mcq").groupBy("gold", "letter").agg(F.count("*").alias("n"), F.count_if(F.col("gold") == F.col("letter")).alias("hits"))
 
 
-@query(f"""with {GRADED} select gold, count(*) filter (where letter = 'A') as "A", count(*) filter (where letter = 'B') as "B", count(*) filter (where letter = 'C') as "C", count(*) filter (where letter = 'D') as "D" from graded where is_mcq group by gold""")
+LETTERS = "ABCDEFGHIJ"
+_LETTER_COUNTS = ", ".join(f"count(*) filter (where letter = '{x}') as \"{x}\"" for x in LETTERS)
+
+
+@query(f"""with {GRADED} select gold, {_LETTER_COUNTS}, count(*) filter (where letter not in ({", ".join(f"'{x}'" for x in LETTERS)})) as other from graded where is_mcq group by gold""")
 def letter_confusion(spark: SparkSession, d: str) -> DataFrame:
-    """Confusion matrix of letters: a pivot with zeros."""
-    return graded(spark, d).where("is_mcq").groupBy("gold").pivot("letter", ["A", "B", "C", "D"]).agg(F.count("id")).na.fill(0)
+    """Confusion matrix of letters: one count a letter, and of whatever else was chosen."""
+    counts = [F.count_if(F.col("letter") == x).alias(x) for x in LETTERS]
+    return graded(spark, d).where("is_mcq").groupBy("gold").agg(*counts, F.count_if(~F.col("letter").isin(*LETTERS)).alias("other"))
 
 
 @query(f"""with {GRADED} select correct, count(*) as n, count(*) filter (where closed) as closed_n, count(*) filter (where all_boxes > 0) as boxed_n, round(avg(all_boxes), 6) as mean_boxes, round(avg(chars), 6) as mean_chars from graded group by correct""")
@@ -76,7 +81,7 @@ def phrase_frequency(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "responses", "response").select(F.explode(hits).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
 
 
-_SLICE = "count(*) as n, count(*) filter (where closed) as closed_n, count(*) filter (where n_boxes = n_gold) as aligned, count(*) filter (where chars >= 1000) as near_cap, round(avg(chars), 6) as mean_chars"
+_SLICE = f"count(*) as n, count(*) filter (where closed) as closed_n, count(*) filter (where n_boxes = n_gold) as aligned, count(*) filter (where chars >= {fx.NEAR_CAP_CHARS}) as near_cap, round(avg(chars), 6) as mean_chars"
 
 
 @query(f"""with {GRADED} select 'all' as slice, {_SLICE} from graded union all select 'mcq', {_SLICE} from graded where is_mcq union all select 'freeform', {_SLICE} from graded where not is_mcq union all select 'multi', {_SLICE} from graded where n_gold > 1""")
@@ -85,7 +90,7 @@ def slice_report(spark: SparkSession, d: str) -> DataFrame:
     g = graded(spark, d)
     slices = F.array_compact(F.array(F.lit("all"), F.when(F.col("is_mcq"), "mcq").otherwise("freeform"), F.when(F.col("n_gold") > 1, "multi")))
     return g.withColumn("slice", F.explode(slices)).groupBy("slice").agg(
-        F.count("*").alias("n"), F.count_if("closed").alias("closed_n"), F.count_if(F.col("n_boxes") == F.col("n_gold")).alias("aligned"), F.count_if(F.col("chars") >= 1000).alias("near_cap"), F.round(F.avg("chars"), 6).alias("mean_chars")
+        F.count("*").alias("n"), F.count_if("closed").alias("closed_n"), F.count_if(F.col("n_boxes") == F.col("n_gold")).alias("aligned"), F.count_if(F.col("chars") >= fx.NEAR_CAP_CHARS).alias("near_cap"), F.round(F.avg("chars"), 6).alias("mean_chars")
     )
 
 
@@ -101,13 +106,13 @@ def health_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {GRADED}, f as (select scan_idx, array_to_string(list_filter([case when opened and not closed then 'truncated' end, case when all_boxes = 0 then 'no_box' end, case when n_boxes > n_gold then 'extra_boxes' end,
-    case when n_boxes < n_gold and all_boxes > 0 then 'missing_boxes' end, case when chars >= 1000 then 'near_cap' end, case when chars = 0 then 'empty' end], lambda x: x is not null), ',') as flags from graded) select scan_idx, flags from f where flags <> ''""")
+    case when n_boxes < n_gold and all_boxes > 0 then 'missing_boxes' end, case when chars >= {fx.NEAR_CAP_CHARS} then 'near_cap' end, case when chars = 0 then 'empty' end], lambda x: x is not null), ',') as flags from graded) select scan_idx, flags from f where flags <> ''""")
 def flags_export(spark: SparkSession, d: str) -> DataFrame:
     """Responses with at least one flag."""
     flag = lambda c, n: F.when(c, F.lit(n))
     b, g, a = F.col("n_boxes"), F.col("n_gold"), F.col("all_boxes")
     flags = F.array_compact(F.array(
-        flag(F.col("opened") & ~F.col("closed"), "truncated"), flag(a == 0, "no_box"), flag(b > g, "extra_boxes"), flag((b < g) & (a > 0), "missing_boxes"), flag(F.col("chars") >= 1000, "near_cap"), flag(F.col("chars") == 0, "empty"),
+        flag(F.col("opened") & ~F.col("closed"), "truncated"), flag(a == 0, "no_box"), flag(b > g, "extra_boxes"), flag((b < g) & (a > 0), "missing_boxes"), flag(F.col("chars") >= fx.NEAR_CAP_CHARS, "near_cap"), flag(F.col("chars") == 0, "empty"),
     ))
     return graded(spark, d).select("scan_idx", flags.alias("f")).where(F.size("f") > 0).select("scan_idx", F.array_join("f", ",").alias("flags"))
 

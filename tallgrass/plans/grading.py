@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallgrass.functions import fixed_values as fx
 from tallgrass.functions import judging
 from tallgrass.functions import text as tx
 from tallgrass.operators import voting
-from tallgrass.plans.base import GRADED, graded, items
+from tallgrass.plans.base import GRADED, ITEMS, graded, items
+from tallgrass.plans.grade_cases import CASES, response
 from tallgrass.plans.registry import Registry
 from tallgrass.sources.tables import table
 
 query = Registry()
 #: Most items whose kinds are broadcast to the responses; more are joined by a shuffle.
 SHIPPED = 20_000
+#: Answers that every rule of the grader leaves equal to themselves, and cues that move the place of an answer.
+PLAIN = "^([1-9][0-9]*([.][0-9]+)?|[A-Za-z]{2,})$"
+MOVES = "herefore|#### |# Answer"
 
 
 def last_responses(spark: SparkSession, d: str) -> DataFrame:
@@ -24,12 +29,50 @@ def last_responses(spark: SparkSession, d: str) -> DataFrame:
     return t.join(last, "scan_idx", "left_semi").join(items(spark, d), "id")
 
 
+def boxed_exactly(response_: F.Column, gold: F.Column) -> F.Column:
+    """Whether a response is right without the grader: its boxes are the plain gold answers, letter by letter, in one line.
+
+    Plain answers are numbers and words, which no rule of the grader rewrites unequally; a response
+    with a cue that moves the place of the answer is left to the grader.
+    """
+    line = F.concat(F.lit("\\boxed{"), F.array_join(gold, "}, \\boxed{"), F.lit("}"))
+    plain = ~F.exists(gold, lambda g: ~g.rlike(PLAIN)) & (F.size(gold) > 0)
+    tail = F.substring_index(response_, fx.THINK_CLOSE, -1)
+    return F.coalesce(plain & F.contains(tail, line) & (F.regexp_count(tail, F.lit(r"oxed\{")) == F.size(gold)) & ~response_.rlike(MOVES), F.lit(False))
+
+
+_EXACT = f"""coalesce(len(gold) > 0 and len(list_filter(gold, lambda g: not regexp_matches(g, '{PLAIN}'))) = 0
+    and contains(split_part(coalesce(response, ''), '</think>', -1), concat('\\boxed{{', array_to_string(gold, '}}, \\boxed{{'), '}}'))
+    and len(regexp_extract_all(split_part(coalesce(response, ''), '</think>', -1), 'oxed\\{{')) = len(gold) and not regexp_matches(response, '{MOVES}'), false)"""
+
+
+@query("select n, equal from (values " + ", ".join(f"({i}, {str(ok).lower()})" for i, (_, _, ok) in enumerate(CASES)) + ") t(n, equal)")
+def grade_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The grader over hand-made cases."""
+    rows = [(i, response(said), list(gold)) for i, (said, gold, _) in enumerate(CASES)]
+    return spark.createDataFrame(rows, "n int, response string, gold array<string>").select("n", judging.grade_udf("response", "gold").alias("equal"))
+
+
+@query(f"""with {ITEMS}, t as (select lower(trim(run_tag)) as run, id, response from (select *, row_number() over (partition by lower(trim(run_tag)), id order by scan_idx desc) as r from responses) where r = 1)
+    select run, count(*) as n, count(*) filter (where response is null) as missing, count(*) filter (where {_EXACT}) as exact from t join items using (id) where not coalesce(len(options), 0) > 0 group by run""")
+def grade_screen(spark: SparkSession, d: str) -> DataFrame:
+    """Free-form answers that are decided before the grader: missing, and right letter by letter."""
+    r = last_responses(spark, d).where(~tx.is_mcq(F.col("options")))
+    return r.groupBy("run").agg(F.count("*").alias("n"), F.count_if(F.col("response").isNull()).alias("missing"), F.count_if(boxed_exactly(F.col("response"), F.col("gold"))).alias("exact"))
+
+
+def with_grade(r: DataFrame, response_: str = "response", name: str = "ok") -> DataFrame:
+    """Rows with their grade; only what is not decided in the JVM goes to Python."""
+    exact = boxed_exactly(F.col(response_), F.col("gold"))
+    return r.withColumn("_exact", exact).withColumn(name, F.col("_exact") | judging.grade_udf(F.when(~F.col("_exact"), F.col(response_)), F.col("gold"))).drop("_exact")
+
+
 @query()
 def auto_grade(spark: SparkSession, d: str) -> DataFrame:
     """Automatic grades of all runs by kind of question: letters for choices, the grader for the rest."""
     r = last_responses(spark, d)
     mcq = tx.is_mcq(F.col("options"))
-    ff = r.where(~mcq).withColumn("ok", judging.grade_udf("response", "gold"))
+    ff = with_grade(r.where(~mcq))
     mc = r.where(mcq).withColumn("ok", F.coalesce(tx.letter(F.col("response")) == F.upper(F.col("gold")[0]), F.lit(False)))
     both = ff.select("run", F.lit("freeform").alias("kind"), "ok").unionByName(mc.select("run", F.lit("mcq").alias("kind"), "ok"))
     return both.groupBy("run", "kind").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_correct"), F.round(100.0 * F.avg(F.col("ok").cast("int")), 4).alias("pct"))
@@ -47,11 +90,7 @@ def lenient_grade(spark: SparkSession, d: str) -> DataFrame:
 def grade_causes(spark: SparkSession, d: str) -> DataFrame:
     """Why free-form answers fail: nothing extracted, another count, or a value, by kind of value error."""
     r = last_responses(spark, d).where(~tx.is_mcq(F.col("options")))
-    e = r.select("run", "gold", judging.grade_udf("response", "gold").alias("ok"), judging.extracted_udf("response").alias("got"))
-    e = e.withColumn("kind", F.when(F.col("ok"), "ok").when(F.size("got") == 0, "noextract").when(F.size("got") != F.size("gold"), "align"))
-    known = e.where("kind is not null").select("run", "kind")
-    value = e.where("kind is null").select("run", judging.row_error_udf("got", "gold").alias("kind"))
-    return known.unionByName(value).groupBy("run", "kind").agg(F.count("*").alias("n"))
+    return r.select("run", judging.cause_udf("response", "gold").alias("kind")).groupBy("run", "kind").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -59,7 +98,9 @@ def repair_no_harm(spark: SparkSession, d: str) -> DataFrame:
     """Repair of misaligned answers: changed, recovered and broken responses (broken must be 0)."""
     r = last_responses(spark, d).where(~tx.is_mcq(F.col("options")) & F.col("response").isNotNull())
     r = r.withColumn("n", tx.blank_count(F.col("question"), F.col("options"))).withColumn("fix", judging.repaired_udf("response", "n"))
-    g = r.select("run", "fix.changed", judging.grade_udf("response", "gold").alias("before"), judging.grade_udf(F.col("fix.response"), F.col("gold")).alias("after"))
+    r = with_grade(r, name="before").withColumn("changed", F.col("fix.changed"))
+    # an unchanged response keeps its grade: only repaired ones are graded again
+    g = r.select("run", "changed", "before", F.when(F.col("changed"), judging.grade_udf(F.when(F.col("changed"), F.col("fix.response")), F.col("gold"))).otherwise(F.col("before")).alias("after"))
     return g.groupBy("run").agg(
         F.count("*").alias("n"), F.count_if("changed").alias("changed"), F.count_if(~F.col("before") & F.col("after")).alias("recovered"), F.count_if(F.col("before") & ~F.col("after")).alias("broken")
     )
