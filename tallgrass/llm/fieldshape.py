@@ -1,8 +1,9 @@
 """Features of a response or an answer: shape of its ending, emptiness, pairing with its question.
 
-Dense features are booleans (plus a few shares) with a name each; n-grams are hashed words of
-the closing part.  Whole texts are looked at: language and coverage by the question run over
-every word, the shape looks for tags, boxes and marks in the whole text.
+Dense features are booleans (plus a few shares) with a name each; n-grams are hashed words and
+word pairs of the whole closing part, and apart from them those of its last words.  Whole texts are
+looked at: language, coverage by the question and refusing sentences run over every word, the shape
+looks for tags, boxes and marks in the whole text.
 """
 
 from __future__ import annotations
@@ -24,19 +25,24 @@ _BOX = re.compile(r"\\(?:f?boxed|fbox)\s*\{")
 _MARK = re.compile(r"^[ \t*#>_]*(?:final\s+answer|answer|final)[ \t*_]*(?:[:：][ \t*_]*(?P<v>[^\n]*))?$", re.I | re.M)
 _CUTMARK = re.compile(r"(?:…|\.\.\.|\[\s*(?:\.\.\.|…|truncated|cut|more)\s*\]|<br\s*/?>?|<[a-z]{0,4}|\((?:truncated|continued)\)?|&[a-z]{0,5})\s*$", re.I)
 _TAGS = re.compile(r"</?(?:redacted_)?think(?:ing)?>|\\(?:f?boxed|fbox)|final answer|answer|final", re.I)
-_ALNUM = re.compile(r"[^\W_]")
+_MARKS_ONLY = re.compile(r"(?:</?(?:redacted_)?think(?:ing)?>|\\(?:f?boxed|fbox)|final answer|answer|final|[\W_])*", re.I)
+_LONGEST = max(map(len, NOTHING))
+_SENTENCE_END = re.compile(r"[.!?。]\s+|\n")
+_CUE = re.compile(r"\b(?:is|are|equals?|be|get|gives?|answer|obtain|conclude|comes? to)\b|=", re.I)
+_VALUE_END = re.compile(r"(?:\d|[)}\]$%°]|\b[A-Za-z])[.!。]?$")
 _COMMAND_END = re.compile(r"\\[A-Za-z]*$")
 _WORD_END = re.compile(r"[A-Za-z]{2,}$")
-TAIL = 420
+#: Words at the end that have n-grams of their own.
+LAST = 6
 
 RESPONSE = (
     "nothing", "null_word", "empty_box", "no_final", "no_final_stop", "open_box", "mark_no_value", "deficit", "deficit_alien", "sep_end", "open_think",
     "cut_mark", "word_end", "operator_end", "odd_dollar", "unbalanced_end", "complete_box", "complete_value", "at_limit", "limit_no_final",
-    "cover_f", "cover_both", "copy", "copy_no_final", "alien_some", "alien", "close_then_nothing", "short", "stop_end", "plain_no_final",
+    "cover_f", "cover_both", "copy", "copy_no_final", "alien_some", "alien", "close_then_nothing", "short", "stop_end", "plain_no_final", "refuses", "refuses_no_final", "concludes", "alien_sure",
 )
 ANSWER = (
     "nothing", "null_word", "empty_box", "unbalanced", "operator_end", "space_end", "command_end", "open_quote", "cover_f", "cover_both", "copy",
-    "alien_some", "alien", "has_digit", "words3", "words1", "number_like", "comma_end", "letter", "fewer",
+    "alien_some", "alien", "has_digit", "words3", "words1", "number_like", "comma_end", "letter", "fewer", "refuses",
 )
 
 
@@ -67,12 +73,24 @@ def balance(s: str) -> int:
 
 def nothing_in(s: str) -> bool:
     """Whether a stripped text holds nothing that could be an answer."""
-    if len(s) > 160:
-        return False
-    if s.lower() in NOTHING:
+    rest = len(s) - _MARKS_ONLY.match(s).end()
+    if not rest or len(s) <= _LONGEST and s.lower() in NOTHING:
         return True
-    core = _TAGS.sub(" ", s)
-    return not _ALNUM.search(core) or core.strip(BLANK + "{}[]()$*:.,-").lower() in NOTHING
+    return rest <= _LONGEST + 64 and _TAGS.sub(" ", s[-rest:]).strip(BLANK + "{}[]()<>$*:.,-").lower() in NOTHING
+
+
+def value_start(t: str) -> int:
+    """Where the value behind the last mark of a final answer begins; the last character of a text without one."""
+    m = None
+    for m in _MARK.finditer(t):
+        pass
+    return m.start("v") if m and (m["v"] or "").strip() else len(t.rstrip()) - 1
+
+
+def concludes(tail: str) -> bool:
+    """Whether the last sentence says what something is, and ends in a value."""
+    said = _SENTENCE_END.split(tail)[-1] if len(tail) < 400 else _SENTENCE_END.split(tail[max(tail.rfind("\n"), tail.rfind(". ", 0, len(tail) - 1), 0) :])[-1]
+    return bool(_VALUE_END.search(said) and _CUE.search(said))
 
 
 def response_shape(t: str, slots: int) -> tuple[list[float], str]:
@@ -89,7 +107,7 @@ def response_shape(t: str, slots: int) -> tuple[list[float], str]:
     mark = value = False
     if not got and not open_box and not empty:
         m = None
-        for m in _MARK.finditer(tail, max(0, len(tail) - 400)):
+        for m in _MARK.finditer(tail):
             pass
         if m:
             v = (m["v"] or "").strip(BLANK + "*$")
@@ -104,9 +122,9 @@ def response_shape(t: str, slots: int) -> tuple[list[float], str]:
     f = [
         empty, s.lower() in NOTHING, bool(got) and not full, not final, not final and stop, open_box, mark and not value, deficit, 0, bool(got) and rest in (",", ";"), opened and not complete,
         bool(_CUTMARK.search(last)) and not empty, not final and bool(_WORD_END.search(last)), c in "([{$\\=+-*/,:;&^_<" and bool(c), not final and tail.count("$") % 2 == 1, not final and balance(last) > 0, complete, value, 0, 0,
-        0, 0, 0, 0, 0, 0, close >= 0 and not tail and not empty, len(s) < 40, stop, not final and not empty and not opened and stop,
+        0, 0, 0, 0, 0, 0, close >= 0 and not tail and not empty, len(s) < 40, stop, not final and not empty and not opened and stop, 0, 0, not final and not opened and concludes(tail), 0,
     ]
-    return f, tail[-TAIL:]
+    return f, tail
 
 
 def answer_shape(t: str, slots: int) -> list[float]:
@@ -118,18 +136,18 @@ def answer_shape(t: str, slots: int) -> list[float]:
     odd = s.count('"') % 2 == 1
     return [
         nothing_in(s), s.lower() in NOTHING, s.replace(" ", "") in ("\\boxed{}", "\\fbox{}"), b > 0 or s.count("$") % 2 == 1 or s.count("\\begin") > s.count("\\end"), c in "+-=*/^_\\<>&" and len(s) > 1, t[-1:] == " " and c in "+-=*/,(", bool(_COMMAND_END.search(s)) and b > 0, odd, 0, 0, 0,
-        0, 0, any(x.isdigit() for x in s), len(words) >= 3, len(words) >= 1, not words and any(x.isdigit() for x in s), c in ",;", len(s) == 1 and s.isalpha(), slots > 1 and b > 0,
+        0, 0, any(x.isdigit() for x in s), len(words) >= 3, len(words) >= 1, not words and any(x.isdigit() for x in s), c in ",;", len(s) == 1 and s.isalpha(), slots > 1 and b > 0, 0,
     ]
 
 
 class Questions:
     """Word pairs and language of a set of questions, for many texts to be held against."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, tongue: language.Tongue):
         data, off = at.buffers(texts)
         w = at.Words(data, off)
-        self.words = w.count
-        self.lang = language.Sentences(data, off, w).main()
+        self.words, self.tongue = w.count, tongue
+        self.lang = language.sentences(texts, tongue, w).main()
         pair, row = pairs(w)
         self.key = np.unique(_own(pair, row))
         # owner of each key is not stored: keys of different questions differ by construction
@@ -140,7 +158,7 @@ class Questions:
         n = w.rows
         mine, theirs = np.zeros(n), np.zeros(n)
         q = self.words[owner]
-        rows = np.flatnonzero((w.count >= 0.3 * q) & (w.count <= 2.0 * q + 12) & (w.count > 1))  # else neither share can be high
+        rows = np.flatnonzero((w.count >= 0.3 * q) & (w.count > 1))  # else no half of the question can be there
         if not len(rows) or not len(self.key):
             return mine, theirs
         pair, row = pairs(w, rows)
@@ -178,17 +196,63 @@ def _own(pair: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def grams(tails: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and rows of the hashed words and word pairs of closing parts."""
+    """Slots and rows of the hashed words and word pairs of closing parts; the last words have slots of their own too."""
     w = at.Words(*at.buffers(tails))
     two = at.ngrams(w.hash, 2)
     same = w.row[1:] == w.row[:-1] if len(w.row) > 1 else np.zeros(0, bool)
     word = w.kind == 1
-    slot = np.concatenate([linear.slots(w.hash[word]), linear.slots(two[same])])
-    row = np.concatenate([w.row[word], w.row[:-1][same]]) if len(w.row) > 1 else w.row[word]
-    return slot, row
+    last = np.arange(len(w.hash)) >= w.first[w.row + 1] - LAST
+    salt = np.uint64(0xC2B2AE3D27D4EB4F)
+    parts = [(w.hash[word], w.row[word]), (at.mix(w.hash[word & last] ^ salt), w.row[word & last])]
+    if len(w.row) > 1:
+        end = same & last[:-1]
+        parts += [(two[same], w.row[:-1][same]), (at.mix(two[end] ^ salt), w.row[:-1][end])]
+    return np.concatenate([linear.slots(h) for h, _ in parts]), np.concatenate([r for _, r in parts])
+
+
+#: Logits of a sentence above its threshold at which it surely refuses.
+SCALE = 4.0
 
 
-def response_features(texts: pa.Array, owner: np.ndarray, questions: Questions, slots: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Refusals:
+    """A linear model of sentences that decline to answer; a text has the score of its most refusing sentence."""
+
+    def __init__(self, refusing: list[str], other: list[str]):
+        n, slot, row, owner = _sentence_grams(pa.array(refusing + other, pa.string()))
+        y = (owner < len(refusing)).astype(float)[:, None]
+        self.model = linear.Linear(1, 0).fit(np.zeros((n, 0)), slot, row, y) if refusing and other else None
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """How much the most refusing sentence of each text declines to answer, from -1 to 1."""
+        out = np.full(len(texts), -SCALE)
+        if self.model is None or not len(texts):
+            return out
+        n, slot, row, owner = _sentence_grams(texts)
+        s = self.model.scores(np.zeros((n, 0)), slot, row)[:, 0] - self.model.cut[0]
+        np.maximum.at(out, owner, s)
+        return np.clip(out, -SCALE, SCALE) / SCALE
+
+
+def _sentence_grams(texts: pa.Array) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of sentences, slots and sentences of the n-grams (one to three words), and the text of each sentence."""
+    data, off = at.buffers(texts)
+    w = at.Words(data, off)
+    end = np.flatnonzero((data == 10) | (data == 46) | (data == 33) | (data == 63))
+    key = np.searchsorted(end, w.start)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (w.row[1:] != w.row[:-1])
+    sent = np.cumsum(new) - 1
+    slot, row = [], []
+    for k in (1, 2, 3):
+        g = at.ngrams(w.hash, k) if k > 1 else w.hash
+        own = sent[: len(g)]
+        ok = (own == sent[k - 1 :]) if len(g) else np.zeros(0, bool)
+        slot.append(linear.slots(at.mix(g[ok] ^ np.uint64(k))))
+        row.append(own[ok])
+    return int(new.sum()), np.concatenate(slot), np.concatenate(row), w.row[new]
+
+
+def response_features(texts: pa.Array, owner: np.ndarray, questions: Questions, slots: np.ndarray, limit: np.ndarray, refusals: Refusals | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Dense matrix, n-gram slots and rows of a block of responses."""
     made = [response_shape(t, s) for t, s in zip(texts.to_pylist(), slots.tolist())]
     x = np.array([m[0] for m in made], float).reshape(len(made), len(RESPONSE))
@@ -196,25 +260,33 @@ def response_features(texts: pa.Array, owner: np.ndarray, questions: Questions,
     data, off = at.buffers(texts)
     w = at.Words(data, off)
     mine, theirs = questions.cover(w, owner)
-    alien = language.Sentences(data, off, w).other(questions.lang[owner])
+    speech = language.sentences(texts, questions.tongue, w)
+    alien = speech.other(questions.lang[owner])
+    x[:, col["alien_sure"]] = speech.sure
     _pair(x, col, mine, theirs, alien)
     x[:, col["copy_no_final"]] = x[:, col["copy"]] * x[:, col["no_final"]]
     x[:, col["deficit_alien"]] = x[:, col["deficit"]] * (alien > 0.5)
     x[:, col["deficit"]] *= alien <= 0.5
     x[:, col["at_limit"]] = limit * (1 - np.maximum(x[:, col["complete_box"]], x[:, col["complete_value"]]))  # a full answer may end anywhere
     x[:, col["limit_no_final"]] = limit * x[:, col["no_final"]]
+    if refusals:
+        x[:, col["refuses"]] = refusals.score(texts)
+        x[:, col["refuses_no_final"]] = np.maximum(x[:, col["refuses"]], 0) * x[:, col["no_final"]]
     slot, row = grams(pa.array([m[1] for m in made], pa.string()))
     return x, slot, row
 
 
-def answer_features(texts: pa.Array, owner: np.ndarray, questions: Questions, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def answer_features(texts: pa.Array, owner: np.ndarray, questions: Questions, slots: np.ndarray, refusals: Refusals | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Dense matrix, n-gram slots and rows of a block of answers."""
     x = np.array([answer_shape(t, s) for t, s in zip(texts.to_pylist(), slots.tolist())], float).reshape(len(texts), len(ANSWER))
     col = {k: i for i, k in enumerate(ANSWER)}
     data, off = at.buffers(texts)
     w = at.Words(data, off)
     mine, theirs = questions.cover(w, owner)
-    _pair(x, col, mine, theirs, language.Sentences(data, off, w).other(np.where(questions.lang[owner] < 0, 0, questions.lang[owner])))
+    speech = language.sentences(texts, questions.tongue, w)
+    _pair(x, col, mine, theirs, speech.other(np.where(questions.lang[owner] < 0, 0, questions.lang[owner])))
+    if refusals:
+        x[:, col["refuses"]] = refusals.score(texts)
     slot, row = grams(texts)
     return x, slot, row
 

@@ -16,6 +16,7 @@ outer blanks; a null tag is a run of its own without limit.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,26 +41,19 @@ def closing(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(slot), np.concatenate(row)
 
 
-def features(texts: pa.Array, owner: np.ndarray, q: fs.Questions, slots: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of the pair classifier plus closing characters."""
-    x, slot, row = fs.response_features(texts, owner, q, slots, limit)
-    s, r = closing(texts)
-    return x, np.concatenate([slot, s]), np.concatenate([row, r])
-
-
 class Detector:
     """The trained regression."""
 
     def __init__(self, sample: pd.DataFrame, seed: int = 4):
-        import random
-
-        self.model = None
+        self.model, self.tongue = None, pairs.tongue_of(sample)
         if not len(sample):
             return
-        texts, questions, slots, limit, y = pairs.Classifier(sample[:0], sample[:0])._broken(sample, random.Random(seed))
+        rng = random.Random(seed)
+        self.refusals = pairs.refusals_of(sample, rng)
+        texts, questions, slots, limit, y = pairs.broken(sample, rng, self.tongue)
         if not texts:
             return
-        x, slot, row = pairs.in_parts("response", texts, questions, slots, limit, extra=closing)
+        x, slot, row = pairs.in_parts("response", texts, questions, slots, limit, self.tongue, extra=closing, refusals=self.refusals)
         self.model = linear.Linear(1, x.shape[1]).fit(x, slot, row, y[:, 1:2])
         self.held_out = self.model.held_out[0]
 
@@ -67,31 +61,26 @@ class Detector:
         """Whether each text was cut."""
         if self.model is None:
             return np.zeros(len(texts), bool)
-        x, slot, row = features(texts, owner, q, slots, limit)
-        return (self.model.scores(x, slot, row)[:, 0] > self.model.cut[0]) & (x[:, 0] == 0)
+        x, slot, row = fs.response_features(texts, owner, q, slots, limit, self.refusals)
+        more, at_ = closing(texts)
+        return (self.model.scores(x, np.concatenate([slot, more]), np.concatenate([row, at_]))[:, 0] > self.model.cut[0]) & (x[:, 0] == 0)
 
 
 def judged(responses: DataFrame, items: DataFrame, *, bound: int = pairs.SAMPLE) -> DataFrame:
-    """``(scan_idx, run_tag, cut)`` of every response: one scan for the limits, one for the scores."""
-    table = pairs.question_table(items)
-    sc = responses.sparkSession.sparkContext
-    sample = pairs.bounded(responses.select("scan_idx", "id", "response"), bound).merge(table, on="id", how="left")
-    sample["slots"] = sample["slots"].fillna(1)
-    model = sc.broadcast(Detector(sample[["response", "question", "slots"]]))
-    known = sc.broadcast(pairs.Known(table))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = known.value
-        for batch in batches:
-            col = at.plain(batch.column(3))
-            own = k.owner(batch.column(1))
-            limit = batch.column(4).to_numpy(zero_copy_only=False).astype(float)
-            for a, b in at.blocks(col):
-                got = model.value.cut(col.slice(a, b - a), own[a:b], k.questions, k.slots[own[a:b]], limit[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(got)], names=["scan_idx", "run_tag", "cut"])
-
-    given = pairs.with_limits(responses).select("scan_idx", "id", F.col("_tag").alias("run_tag"), "response", "_at")
-    return given.mapInArrow(run, "scan_idx bigint, run_tag string, cut boolean")
+    """``(scan_idx, run_tag, cut)`` of every response: one scan for lengths and sample, one for the scores."""
+    questions = pairs.question_frame(items)
+    table = pairs.shipped(questions)
+    counted, sample = pairs.survey(responses, bound)
+    fitted = Detector(pairs.of_items(sample, questions, table)[["response", "question", "slots"]])
+    model = responses.sparkSession.sparkContext.broadcast(fitted)
+
+    def run(parts: Iterator[pairs.Part]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            got = model.value.cut(p.text, p.owner, p.questions, p.slots, p.limit)
+            yield pa.RecordBatch.from_arrays([*p.columns, pa.array(got)], names=["scan_idx", "run_tag", "cut"])
+
+    given = pairs.with_limits(responses, pairs.limits_of(counted))
+    return pairs.judged_parts(given, questions, table, fitted.tongue, ["scan_idx", "_tag"], run, "scan_idx bigint, run_tag string, cut boolean")
 
 
 def rates(found: DataFrame) -> DataFrame:

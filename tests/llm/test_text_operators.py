@@ -86,12 +86,18 @@ def test_retrieval_loses_nothing_against_brute_force():
 
 
 def test_language():
-    texts = ["The sum of the terms is zero.", "Die Summe der beiden Zahlen ist null.", "La somme des deux termes est nulle.", "Сумма двух чисел равна нулю.", "所以只剩下一个解。", "$x^2 + 1$", ""]
-    s = language.sentences(pa.array(texts))
-    assert [language.LANGS[k] if k >= 0 else "-" for k in s.main()] == ["en", "de", "fr", "ru", "zh", "-", "-"]
-    mixed = language.sentences(pa.array(["The sum of these is one. " * 3 + "Die Summe ist eins. ", "Die Summe der Zahlen ist eins. " * 3 + "The sum is one. "]))
+    texts = ["The sum of the terms is zero.", "Die Summe der beiden Zahlen ist null.", "La somme des deux termes est nulle.", "Сумма двух чисел равна нулю.", "所以只剩下一个解。", "$x^2 + 1$", "", "<redacted_thinking>\n</redacted_thinking> \\boxed{C}"]
+    tongue = language.Tongue()
+    s = language.sentences(pa.array(texts), tongue)
+    assert [language.LANGS[k] if k >= 0 else "-" for k in s.main()] == ["en", "de", "fr", "ru", "zh", "-", "-", "-"]
+    mixed = language.sentences(pa.array(["The sum of these is one. " * 3 + "Die Summe ist eins. ", "Die Summe der Zahlen ist eins. " * 3 + "The sum is one. "]), tongue)
     share = mixed.other(np.array([0, 0]))
     assert share[0] < 0.5 < share[1]
+    short = ["gegen den Uhrzeigersinn", "siempre positiva", "i due valori", "нет решений", "无解", "none of these", "increasing", "8、x，DNE", "converges absolutely", "no real roots"]
+    assert (language.sentences(pa.array(short), tongue).other(np.zeros(10, int)) > 0).tolist() == [True] * 5 + [False] * 5
+    again = language.Tongue().refine(pa.array([question() for _ in range(50)] + texts))
+    assert [language.LANGS[k] if k >= 0 else "-" for k in language.sentences(pa.array(texts), again).main()][:5] == ["en", "de", "fr", "ru", "zh"]
+    assert language.Tongue().refine(pa.array([], pa.string())).table.any()
 
 
 # --- linear and boosting -----------------------------------------------------------------------
@@ -207,6 +213,8 @@ def test_shapes():
     assert f("<think>\na\n</think>\n\n\\boxed{1}")["complete_box"] and f("ANSWER: 5\n")["complete_value"] and f("x \\boxed{1}, \\boxed{", 2)["open_box"]
     assert f("\\boxed{1}", 2)["deficit"] and f("text\n</think>")["close_then_nothing"] and f("Final Answer:")["nothing"] and f("so we\n\nFinal Answer:")["mark_no_value"]
     assert f("<think>" + "\\boxed{" * 3000)["open_box"] and not f("")["complete_box"]
+    assert f("\\boxed{}" * 30)["nothing"] and f("<think>\n</think>" + " \n" * 200 + "Final Answer:")["nothing"] and not f("0")["nothing"]
+    assert f("So the sum is 12.")["concludes"] and not f("So the sum telescopes nicely.")["concludes"] and f("ANSWER: 5\n" + "x y z " * 200)["complete_value"]
 
 
 # --- levels ------------------------------------------------------------------------------------
