@@ -28,7 +28,7 @@ _TAGS = re.compile(r"</?(?:redacted_)?think(?:ing)?>|\\(?:f?boxed|fbox)|final an
 _MARKS_ONLY = re.compile(r"(?:</?(?:redacted_)?think(?:ing)?>|\\(?:f?boxed|fbox)|final answer|answer|final|[\W_])*", re.I)
 _LONGEST = max(map(len, NOTHING))
 _SENTENCE_END = re.compile(r"[.!?。]\s+|\n")
-_CUE = re.compile(r"\b(?:is|are|equals?|be|get|gives?|answer|obtain|conclude|comes? to)\b|=", re.I)
+_CUE = re.compile(r"\s*(?:so|thus|hence|therefore|finally|altogether|consequently|in total|it follows that|we conclude)\b.*(?:\b(?:is|are|equals?|be|get|gives?|obtain|conclude|to|choice|answer)\b|=)|.*\b(?:answer|comes? to|total is|result is)\b", re.I)
 _VALUE_END = re.compile(r"(?:\d|[)}\]$%°]|\b[A-Za-z])[.!。]?$")
 _COMMAND_END = re.compile(r"\\[A-Za-z]*$")
 _WORD_END = re.compile(r"[A-Za-z]{2,}$")
@@ -88,9 +88,9 @@ def value_start(t: str) -> int:
 
 
 def concludes(tail: str) -> bool:
-    """Whether the last sentence says what something is, and ends in a value."""
+    """Whether the last sentence draws the conclusion, and ends in a value."""
     said = _SENTENCE_END.split(tail)[-1] if len(tail) < 400 else _SENTENCE_END.split(tail[max(tail.rfind("\n"), tail.rfind(". ", 0, len(tail) - 1), 0) :])[-1]
-    return bool(_VALUE_END.search(said) and _CUE.search(said))
+    return bool(_VALUE_END.search(said) and _CUE.match(said))
 
 
 def response_shape(t: str, slots: int) -> tuple[list[float], str]:
@@ -210,6 +210,17 @@ def grams(tails: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([linear.slots(h) for h, _ in parts]), np.concatenate([r for _, r in parts])
 
 
+def closing(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and rows of the last 1 to 5 bytes of each text, hashed with their length."""
+    data, off = at.buffers(texts)
+    slot, row = [], []
+    for k in range(1, 6):
+        ok = np.flatnonzero(off[1:] - off[:-1] >= k)
+        slot.append(linear.slots(at.mix(at.span_hash(data, off[1:][ok] - k, off[1:][ok], lower=False) ^ np.uint64(k))))
+        row.append(ok)
+    return np.concatenate(slot), np.concatenate(row)
+
+
 #: Logits of a sentence above its threshold at which it surely refuses.
 SCALE = 4.0
 
@@ -273,7 +284,8 @@ def response_features(texts: pa.Array, owner: np.ndarray, questions: Questions,
         x[:, col["refuses"]] = refusals.score(texts)
         x[:, col["refuses_no_final"]] = np.maximum(x[:, col["refuses"]], 0) * x[:, col["no_final"]]
     slot, row = grams(pa.array([m[1] for m in made], pa.string()))
-    return x, slot, row
+    more, at_ = closing(texts)
+    return x, np.concatenate([slot, more]), np.concatenate([row, at_])
 
 
 def answer_features(texts: pa.Array, owner: np.ndarray, questions: Questions, slots: np.ndarray, refusals: Refusals | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

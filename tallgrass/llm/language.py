@@ -35,7 +35,7 @@ LANGS = tuple(SEEDS)
 BITS = 16
 _SHIFT = np.uint64(64 - BITS)
 #: Advantage over the second language, in nats, from which a sentence is decided.
-DECIDED = 1.5
+DECIDED = 2.5
 #: Advantage from which the model learns of a sentence or text, and the share of an n-gram that was not seen.
 SURE, _FLOOR = 10.0, 2e-6
 #: A whole word counts as so many of its n-grams.

@@ -97,7 +97,7 @@ WORDED = (
 #: How a whole response ends that boxes nothing.
 CONCLUDE = (
     "So {x} = {v}.", "Thus {x} = {v}.", "The answer is {v}.", "The answer is {v}", "Therefore the {y} is {v}.", "So the {y} is {v}.", "Thus, the {y} equals {v}.", "Hence the {y} is {v}.", "Therefore, {x} is {v}.", "So we get {v}.",
-    "The {y} is therefore {v}.", "This gives {v} as the answer.", "We conclude that {x} = {v}.", "Finally, the {y} is {v}.", "So the correct choice is {v}.", "My answer: {v}", "It comes to {v}.", "Therefore {x} = {v}.", "The {y} must be {v}.",
+    "So, finally, the {y} is {v}.", "This gives {v} as the answer.", "We conclude that {x} = {v}.", "Finally, the {y} is {v}.", "So the correct choice is {v}.", "My answer: {v}", "It comes to {v}.", "Therefore {x} = {v}.", "Thus the {y} must be {v}.",
 )
 #: Sentences and words of other languages: the prose the language model starts from.
 ELSEWHERE = {k: [t.strip() + "." for t in v.replace("。", ". ").split(". ") if len(t) > 12][:-1] for k, v in language.SEEDS.items() if k != "en"}
@@ -290,9 +290,9 @@ def unboxed(t: str, rng: random.Random) -> str | None:
     return (reasoning + rng.choice(("\n\n", "\n", " ")) + said) if reasoning else said
 
 
-def alien(rng: random.Random, t: str) -> str:
-    """A response in another language with its own final answer, now and then with a first sentence of the original."""
-    said = rng.choice(list(ELSEWHERE.values()))
+def alien(rng: random.Random, t: str, home: str | None = None) -> str:
+    """A response in another language than ``home`` with its own final answer, now and then with a first sentence of the original."""
+    said = rng.choice([v for k, v in ELSEWHERE.items() if k != home])
     lead = t.split(". ", 1)[0] + ". " if rng.random() < 0.4 else rng.choice(("", "<think>\n"))
     k = max(t.rfind("\\boxed{"), t.rfind("\\fbox{"))
     final = t[k:].rstrip() if k >= 0 else f"\\boxed{{{rng.randint(2, 999)}}}"
@@ -320,19 +320,13 @@ def whole(x: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
     return ~(x[:, [c[b] for b in bad]] > 0).any(axis=1)
 
 
-def in_parts(name, texts, questions, slots, limit, tongue, extra=None, refusals=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of training texts, each with its own question, in parts so that memory stays small.
-
-    ``extra`` adds n-gram slots of its own to those of each part of the texts.
-    """
+def in_parts(name, texts, questions, slots, limit, tongue, refusals=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of training texts, each with its own question, in parts so that memory stays small."""
     xs, ss, rs = [], [], []
     for a in range(0, len(texts), 512):
         b = min(a + 512, len(texts))
         col, q, own = pa.array(texts[a:b], pa.string()), fs.Questions(pa.array(questions[a:b], pa.string()), tongue), np.arange(b - a)
         x, slot, row = fs.response_features(col, own, q, slots[a:b], limit[a:b], refusals) if name == "response" else fs.answer_features(col, own, q, slots[a:b], refusals)
-        if extra:
-            more, at_ = extra(col)
-            slot, row = np.concatenate([slot, more]), np.concatenate([row, at_])
         xs.append(x)
         ss.append(slot.astype(np.int32))
         rs.append((row + a).astype(np.int32))
@@ -346,6 +340,7 @@ def broken(s: pd.DataFrame, rng: random.Random, tongue: language.Tongue):
     texts, qs, slots = s["response"].fillna("").tolist(), s["question"].fillna("").tolist(), s["slots"].to_numpy(int)
     x, _, _ = in_parts("response", texts, qs, slots, np.zeros(len(s)), tongue)
     good = np.flatnonzero(whole(x, fs.RESPONSE)).tolist()
+    home = language.sentences(pa.array(qs, pa.string()), tongue).main()
     for i in good:
         if rng.random() < 0.15 and qs[i]:  # a whole response may repeat its question before it goes on
             head, tag, rest = texts[i].partition("<think>\n")
@@ -354,6 +349,9 @@ def broken(s: pd.DataFrame, rng: random.Random, tongue: language.Tongue):
     for i in good[:: UNBOXED]:
         if slots[i] == 1 and (said := unboxed(texts[i], rng)):
             rows.append((said, qs[i], slots[i], False, None))
+            end = said.rstrip().rfind(" ")
+            if end > 4:  # and the same cut before its value
+                rows.append((said[: rng.randint(max(3, end - 40), end)], qs[i], slots[i], rng.random() < 0.5, 1))
     for i in good:
         rows.append((cut(texts[i], rng), qs[i], slots[i], rng.random() < 0.5, 1))
         k = rng.random()
@@ -362,7 +360,7 @@ def broken(s: pd.DataFrame, rng: random.Random, tongue: language.Tongue):
         elif k < 0.6 and qs[i]:
             rows.append((rewritten(qs[i], rng), qs[i], slots[i], False, 3))
         elif k < 0.85:
-            rows.append((alien(rng, texts[i]), qs[i] or "What is the sum of these?", slots[i], False, 4))
+            rows.append((alien(rng, texts[i], language.LANGS[home[i]]), qs[i] or "What is the sum of these?", slots[i], False, 4))
         else:
             rows.append((rng.choice(_EMPTY), qs[i], slots[i], False, 0))
     return _rows(rows)
@@ -377,13 +375,14 @@ def broken_answers(s: pd.DataFrame, rng: random.Random, tongue: language.Tongue)
     good = np.flatnonzero(whole(x, fs.ANSWER) | (agreed & (x[:, fs.ANSWER.index("nothing")] == 0))).tolist()
     rows = [(texts[i], qs[i], slots[i], False, None) for i in good]
     foreign = language.sentences(pa.array(texts, pa.string()), tongue).other(np.zeros(len(texts), np.int64)) > 0
+    mother = language.sentences(pa.array(qs, pa.string()), tongue).main()
     home = [i for i in good if not foreign[i]] or good  # values that are packed together are in one language
     worded = [texts[i] for i in home if any(c.isalpha() for c in texts[i]) and "\\" not in texts[i]] or [""]
     for i in home[::2]:  # fields that pack several values, words among them, are whole too
         some = [rng.choice((rng.choice(worded), texts[rng.choice(home)], rng.choice(worded))) for _ in range(rng.randint(2, 4))]
         quote = rng.random() < 0.4
         some = ['"' + v.replace('"', '""') + '"' if quote and ("," in v or ";" in v or rng.random() < 0.3) else v for v in some]
-        rows.append((rng.choice((", ", ",", "; ", ";", " and ", "\n", " | ")).join(some), qs[i], len(some), False, None))
+        rows.append((rng.choice((", ", ",", "; ", ";", " and ", "\n", " | ")).join(some), qs[i] if mother[i] == 0 else "What is the sum of these?", len(some), False, None))
     rows += [(rng.choice((str, str, str.capitalize))(w), "What is the sum of these?", 1, False, None) for w in WORDED for _ in range(1 + len(good) // 400)]
     for i in good:
         k = rng.random()
@@ -422,6 +421,8 @@ def refusals_of(sample: pd.DataFrame, rng: random.Random) -> fs.Refusals:
     other = [p for t in texts for p in t.replace("\n", ". ").split(". ") if len(p) > 3]
     other = rng.sample(other, min(len(other), SENTENCES)) + [*WORDED] * 8
     other += [rng.choice(CONCLUDE).format(v=rng.randint(2, 999), x=rng.choice("xyn"), y=rng.choice(RESULT)) for _ in range(SENTENCES // 8)]
+    other += [" ".join(w.split()[: rng.randint(1, 2)]) for w in WHO] * 8  # a refusal that only begins is none
+    other += [" ".join(p.split()[: rng.randint(1, 3)]) for p in other[: SENTENCES // 6]]
     said = [refusal(rng) for _ in range(SENTENCES // 2)] + [rng.choice(REFUSE_SHORT) for _ in range(SENTENCES // 8)]
     return fs.Refusals(said, other)
 

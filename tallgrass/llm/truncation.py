@@ -25,22 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm import arrowtext as at
 from tallgrass.llm import fieldshape as fs
 from tallgrass.llm import linear, pairs
 
 
-def closing(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and rows of the last 1 to 5 bytes of each text, hashed with their length."""
-    data, off = at.buffers(texts)
-    slot, row = [], []
-    for k in range(1, 6):
-        ok = np.flatnonzero(off[1:] - off[:-1] >= k)
-        slot.append(linear.slots(at.mix(at.span_hash(data, off[1:][ok] - k, off[1:][ok], lower=False) ^ np.uint64(k))))
-        row.append(ok)
-    return np.concatenate(slot), np.concatenate(row)
-
-
 class Detector:
     """The trained regression."""
 
@@ -53,7 +41,7 @@ class Detector:
         texts, questions, slots, limit, y = pairs.broken(sample, rng, self.tongue)
         if not texts:
             return
-        x, slot, row = pairs.in_parts("response", texts, questions, slots, limit, self.tongue, extra=closing, refusals=self.refusals)
+        x, slot, row = pairs.in_parts("response", texts, questions, slots, limit, self.tongue, refusals=self.refusals)
         self.model = linear.Linear(1, x.shape[1]).fit(x, slot, row, y[:, 1:2])
         self.held_out = self.model.held_out[0]
 
@@ -62,8 +50,7 @@ class Detector:
         if self.model is None:
             return np.zeros(len(texts), bool)
         x, slot, row = fs.response_features(texts, owner, q, slots, limit, self.refusals)
-        more, at_ = closing(texts)
-        return (self.model.scores(x, np.concatenate([slot, more]), np.concatenate([row, at_]))[:, 0] > self.model.cut[0]) & (x[:, 0] == 0)
+        return (self.model.scores(x, slot, row)[:, 0] > self.model.cut[0]) & (x[:, 0] == 0)
 
 
 def judged(responses: DataFrame, items: DataFrame, *, bound: int = pairs.SAMPLE) -> DataFrame:
