@@ -78,10 +78,8 @@ def overlap_key(c: Column) -> Column:
 
     Lower case, single blanks, no dollar signs, text commands unwrapped, other characters blank.
     """
-    s = F.regexp_replace(strip(F.lower(c)), r"\s+", " ")
-    s = F.regexp_replace(F.replace(s, F.lit("$"), F.lit("")), r"\\(?:mathrm|mathbf|text|textbf)\{([^}]*)\}", "$1")
-    s = F.regexp_replace(s, r"[^a-z0-9\\=+\-*/^_{}().,\[\]]+", " ")
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    s = F.regexp_replace(F.translate(F.lower(c), "$", ""), r"\\(?:mathrm|mathbf|text|textbf)\{([^}]*)\}", "$1")
+    return F.trim(F.regexp_replace(s, r"[^a-z0-9\\=+\-*/^_{}().,\[\]]+", " "))  # white space is among the other characters
 
 
 def inline_choices(c: Column) -> Column:
@@ -133,6 +131,12 @@ def route(topic_: Column) -> Column:
     return F.when(topic_.isin(*fx.WEAK_BUCKETS), topic_).when(topic_.isin(*fx.ANCHOR_TOPICS), "anchor")
 
 
+def mix_bucket(question: Column) -> Column:
+    """Bucket of a mixed source: weak (geometry, or a long question), adjacent (probability, sequences), else diverse."""
+    weak = has(question, fx.GEOMETRY_QUESTION) | (F.length(question) >= fx.LONG_QUESTION)
+    return F.when(weak, "weak").when(has(question, fx.PROBABILITY_QUESTION) | has(question, fx.SEQUENCE_QUESTION), "adjacent").otherwise("diverse")
+
+
 def bucket(value: Column, edges: Sequence[int]) -> Column:
     """Right-closed bucket label: ``<=edge`` of the first edge not exceeded, else ``>last``."""
     out = F.when(value.isNull(), None)

@@ -259,23 +259,36 @@ def cheapest(s: str, slots: int, code: ValueCode) -> tuple[str, list[str]]:
     return best[1], best[2]
 
 
-def split_values(df: DataFrame, field: str, slots: Column, *, key: str = "scan_idx") -> DataFrame:
-    """``(key, pos, val, dialect)``: one row per value of every field that packs ``slots`` > 1 values.
+def parsed_fields(df: DataFrame, field: str, slots: Column, *, key: str = "scan_idx") -> DataFrame:
+    """``(key, slots, dialect, vals)``: the cheapest parse of every field with more than one slot.
+
+    Fields whose parse has another number of values than slots are among them.
 
     The first pass counts the code over the rows with fewer than two slots, the second parses;
     neither shuffles more than ``CELLS`` counts a task.
     """
     base = df.select(df[key].alias("_key"), df[field].cast("string").alias("_field"), slots.cast("int").alias("_slots")).where("_field is not null")
-    code = learn_code(base.where("coalesce(_slots, 0) < 2").select("_field"))
+    code = df.sparkSession.sparkContext.broadcast(learn_code(base.where("coalesce(_slots, 0) < 2").select("_field")))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for k, s, n in zip(b["_key"], b["_field"], b["_slots"]):
-                dialect, values = cheapest(s, n, code)
-                if len(values) == n:
-                    rows += [(k, i, v, dialect) for i, v in enumerate(values, 1) if v]
-            yield pd.DataFrame(rows, columns=[key, "pos", "val", "dialect"])
-
-    return base.where("_slots >= 2").mapInPandas(run, f"`{key}` {kind}, pos int, val string, dialect string")
+            got = [cheapest(s, n, code.value) for s, n in zip(b["_field"], b["_slots"])]
+            yield pd.DataFrame({key: b["_key"], "slots": b["_slots"], "dialect": [g[0] for g in got], "vals": [g[1] for g in got]})
+
+    return base.where("_slots >= 2").mapInPandas(run, f"`{key}` {kind}, slots int, dialect string, vals array<string>")
+
+
+def split_values(df: DataFrame, field: str, slots: Column, *, key: str = "scan_idx") -> DataFrame:
+    """``(key, pos, val, dialect)``: one row per value of every field that packs ``slots`` > 1 values.
+
+    An empty slot keeps its number and gives no row; a field that no parse divides into its number
+    of slots gives none at all (see ``unparsed``).
+    """
+    whole = parsed_fields(df, field, slots, key=key).where(F.size("vals") == F.col("slots"))
+    return whole.select(key, "dialect", F.posexplode("vals").alias("p", "val")).where("val <> ''").select(key, (F.col("p") + 1).alias("pos"), "val", "dialect")
+
+
+def unparsed(df: DataFrame, field: str, slots: Column, *, key: str = "scan_idx") -> DataFrame:
+    """``(key, slots, dialect, found)``: fields whose cheapest parse has another number of values than slots."""
+    return parsed_fields(df, field, slots, key=key).where(F.size("vals") != F.col("slots")).select(key, "slots", "dialect", F.size("vals").alias("found"))

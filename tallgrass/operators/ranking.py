@@ -8,16 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rank_value(values: str, p: float, n: str = "n", lower: bool = True) -> Column:
-    """Value at an index of the ascending order of a collected column.
-
-    ``lower``: index ``max(0, floor(p n) - 1)``; otherwise ``min(n - 1, floor(p n))``.
-    """
-    i = F.floor(F.lit(float(p)) * F.col(n))
-    at = F.greatest(i - 1, F.lit(0)) if lower else F.least(i, F.col(n) - 1)
-    return F.get(F.col(values), at.cast("int"))
-
-
 def histogram_quantiles(df: DataFrame, value: str, ps: Sequence[float], lower: bool = True) -> DataFrame:
     """Exact index quantiles of an integer-valued column from its distinct values.
 
@@ -51,3 +41,19 @@ def cut(value: Column, inner: Sequence[float]) -> Column:
 def index_group(position: Column, n: Column, parts: int = 4) -> Column:
     """Group of a position (from 1) by index slices of floor(n / parts), the remainder in the last."""
     return F.least(F.floor((position - 1) / F.greatest(F.floor(n / parts), F.lit(1))), F.lit(parts - 1))
+
+
+def index_slices(counts: DataFrame, value: str, count: str, parts: int = 4) -> DataFrame:
+    """``(grp, n, least, most)`` of the index slices of a column, from the counts of its distinct values.
+
+    Equal values fill successive positions, so which groups a value reaches, and with how many of
+    its rows, follows from the running count: what is ordered is distinct values, not rows.
+    """
+    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    r = counts.withColumn("_to", F.sum(count).over(w)).withColumn("_n", F.sum(count).over(Window.partitionBy())).withColumn("_from", F.col("_to") - F.col(count) + 1)
+    size = F.greatest(F.floor(F.col("_n") / parts), F.lit(1))
+    reached = F.explode(F.sequence(index_group(F.col("_from"), F.col("_n"), parts).cast("bigint"), index_group(F.col("_to"), F.col("_n"), parts).cast("bigint")))
+    r = r.select(value, "_from", "_to", size.alias("_size"), reached.alias("grp"))
+    end = F.when(F.col("grp") == parts - 1, F.col("_to")).otherwise(F.least(F.col("_to"), (F.col("grp") + 1) * F.col("_size")))
+    r = r.withColumn("_own", end - F.greatest(F.col("_from"), F.col("grp") * F.col("_size") + 1) + 1)
+    return r.groupBy("grp").agg(F.sum("_own").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))

@@ -16,6 +16,8 @@ from tallgrass.functions.text import uniform
 
 #: Ranges of the random number in which strata are ranked.
 RANGES = 1024
+#: Most keys that are sent to the workers; more are joined.
+SHIPPED = 100_000
 
 
 def order(key: str, seed: int) -> list[Column]:
@@ -138,7 +140,7 @@ def longest_with_share(df: DataFrame, flag: Column, target: int, share: float, l
     n_flagged = df.where(flag)
     head = n_flagged.orderBy(F.desc(length), key).limit(first).withColumn("_p", F.lit(0))
     taken = head.select(key)
-    rest = df.join(F.broadcast(taken), key, "left_anti").withColumn("_p", F.when(flag, 2).otherwise(1))
+    rest = df.join(F.broadcast(taken) if first <= SHIPPED else taken, key, "left_anti").withColumn("_p", F.when(flag, 2).otherwise(1))
     return head.unionByName(rest).orderBy("_p", F.desc(length), key).limit(target).drop("_p")
 
 

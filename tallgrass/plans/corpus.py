@@ -13,6 +13,8 @@ from tallgrass.plans.registry import Registry, quoted
 from tallgrass.sources.tables import table
 
 query = Registry()
+#: Rows shown of each reason for a reject.
+EXAMPLES = 20
 
 _LAST = f"coalesce(list_filter(regexp_split_to_array({{0}}, '\\r\\n|[\\n\\r\\x0b\\x0c]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '')[-1], '')"
 LAST_LINE = f"regexp_replace({_LAST}, '^\\s+|\\s+$', '', 'g')"
@@ -104,12 +106,12 @@ def top_rejects(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select scan_idx, source, reason, question_preview from (
     select scan_idx, source, lower(reason) as reason, question_preview, row_number() over (partition by lower(reason) order by scan_idx) as r from rejects
-    where lower(reason) not in ('short_trace', 'dropped_source')) where r <= 20""")
+    where lower(reason) not in ('short_trace', 'dropped_source')) where r <= 20""")  # EXAMPLES
 def reject_examples(spark: SparkSession, d: str) -> DataFrame:
-    """Rejects kept for inspection: bulk reasons are counted only, the others sampled up to a number each."""
+    """Rejects kept for inspection: bulk reasons are counted only, of the others the first ``EXAMPLES`` rows each are shown."""
     r = table(spark, d, "rejects", "scan_idx", "source", "reason", "question_preview").withColumn("reason", F.lower("reason")).where(~F.col("reason").isin("short_trace", "dropped_source"))
-    rank = F.row_number().over(Window.partitionBy("reason").orderBy("scan_idx"))  # every task keeps 20 rows of a reason before the shuffle
-    return r.withColumn("r", rank).where("r <= 20").select("scan_idx", "source", "reason", "question_preview")
+    rank = F.row_number().over(Window.partitionBy("reason").orderBy("scan_idx"))  # every task keeps that many rows of a reason before the shuffle
+    return r.withColumn("r", rank).where(f"r <= {EXAMPLES}").select("scan_idx", "source", "reason", "question_preview")
 
 
 _KEY = (
@@ -172,6 +174,13 @@ def source_topics(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d, "question", "hf_source", "source").select(tx.source_topic(F.coalesce("hf_source", "source"), question()).alias("topic")).groupBy("topic").agg(F.count("*").alias("rows"))
 
 
+@query(f"""select bucket, count(*) as rows from (select case when regexp_matches(question, {quoted('(?i)' + fx.GEOMETRY_QUESTION)}) or length(question) >= {fx.LONG_QUESTION} then 'weak'
+    when regexp_matches(question, {quoted('(?i)' + fx.PROBABILITY_QUESTION)}) or regexp_matches(question, {quoted('(?i)' + fx.SEQUENCE_QUESTION)}) then 'adjacent' else 'diverse' end as bucket from sft_corpus) group by 1""")
+def mix_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by bucket of a mixed source: weak, adjacent, diverse."""
+    return corpus(spark, d, "question").select(tx.mix_bucket(question()).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("rows"))
+
+
 @query(f"""select count(*) filter (where regexp_matches(question, {quoted('(?i)' + fx.GEOMETRY)})) as geometry, count(*) filter (where regexp_matches(question, {quoted('(?i)' + fx.GEOMETRY_QUESTION)})) as geometry_question,
     count(*) filter (where regexp_matches(question, {quoted('(?i)' + fx.SEQUENCE_LONG)})) as sequence_long, count(*) filter (where regexp_matches(question, {quoted('(?i)' + fx.SEQUENCE_TOPIC)})) as sequence_topic,
     count(*) filter (where regexp_matches(question, {quoted('(?i)' + fx.FIGURE)})) as figure, count(*) filter (where regexp_matches(coalesce(response, ''), {quoted('(?i)' + fx.HARD_WORDS)})) as hard_words from sft_corpus""")

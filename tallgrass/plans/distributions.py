@@ -108,10 +108,8 @@ def fixed_cut(spark: SparkSession, d: str) -> DataFrame:
     select cast(least(floor((r - 1) / greatest(floor(n / 4), 1)), 3) as bigint) as grp, count(*) as n, min(c) as least, max(c) as most from r group by 1""")
 def index_quartiles(spark: SparkSession, d: str) -> DataFrame:
     """Index-sliced quartiles: floor(n / 4) rows each, the remainder in the last."""
-    e = table(spark, d, "eval_items", "id", "scan_idx", "question").select("id", "scan_idx", F.length("question").alias("c"))
-    r = e.withColumn("r", F.row_number().over(Window.orderBy("c", "id", "scan_idx"))).withColumn("n", F.count("*").over(Window.partitionBy()))
-    g = ranking.index_group(F.col("r"), F.col("n")).cast("bigint")
-    return r.groupBy(g.alias("grp")).agg(F.count("*").alias("n"), F.min("c").cast("bigint").alias("least"), F.max("c").cast("bigint").alias("most"))
+    c = table(spark, d, "eval_items", "question").groupBy(F.length("question").alias("c")).agg(F.count("*").alias("k"))
+    return ranking.index_slices(c, "c", "k").select("grp", "n", F.col("least").cast("bigint").alias("least"), F.col("most").cast("bigint").alias("most"))
 
 
 @query("""with c as (select n_chars, count(*) as k from documents where n_chars is not null group by 1) select n_chars, round(sum(k) over (order by n_chars) * 1.0 / sum(k) over (), 9) as cdf from c""")

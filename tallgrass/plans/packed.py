@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.operators.packed_values import split_values
+from tallgrass.operators.packed_values import split_values, unparsed
 from tallgrass.sources.tables import table
 
 
+def _fields(spark: SparkSession, d: str):
+    return table(spark, d, "sft_corpus", "scan_idx", "question", "answer"), "answer", F.regexp_count("question", F.lit(r"\[ANS\]"))
+
+
 def _split(spark: SparkSession, d: str) -> DataFrame:
-    corpus = table(spark, d, "sft_corpus", "scan_idx", "question", "answer")
-    return split_values(corpus, "answer", F.regexp_count("question", F.lit(r"\[ANS\]")))
+    return split_values(*_fields(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,5 +27,10 @@ def p5_dialects(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d).groupBy("dialect").agg(F.countDistinct("scan_idx").alias("fields"), F.count("*").alias("vals"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_dialects)}
+def p5_unparsed(spark: SparkSession, d: str) -> DataFrame:
+    """Fields that no parse divides into as many values as their question has blanks."""
+    return unparsed(*_fields(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_dialects, p5_unparsed)}
 SQL: dict[str, str] = {}

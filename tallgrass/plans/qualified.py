@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallgrass.functions import fixed_values as fx
 from tallgrass.functions import judging
 from tallgrass.functions import text as tx
 from tallgrass.operators import qualify
@@ -38,6 +39,41 @@ def qualified_rows(spark: SparkSession, d: str) -> DataFrame:
     return q.select("scan_idx", "source_id", "answer", F.length("response").alias("trace_chars"), tx.last_line(F.col("response")).alias("final_line"))
 
 
+@query()
+def qualify_long_and_chat(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by reject reason under the rules of worked solutions, of long traces and of wrapped chats."""
+    out, protected = None, items(spark, d)
+    source = raw(spark, d).withColumn("category", F.lit("math"))
+    for name, rules in (("math", qualify.MATH), ("openmath_long", qualify.OPENMATH_LONG), ("chat", qualify.CHAT)):
+        one = qualify.qualify(source, rules, protected).groupBy(F.lit(name).alias("rules"), F.coalesce("reason", F.lit("ready")).alias("reason")).agg(F.count("*").alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def qualify_choice_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Multiple-choice rows by reject reason, evaluation questions kept out."""
+    c = corpus(spark, d, "question", "options", "answer").where(tx.is_mcq(F.col("options")))
+    gold = F.array((F.ascii("answer") - 65).cast("int"))
+    rows = c.select(F.col("question").alias("query"), F.col("options").alias("choices"), F.when(F.length("answer") == 1, gold).alias("gold"))
+    return qualify.qualify_choices(rows, items(spark, d)).groupBy(F.coalesce("reason", F.lit("ready")).alias("reason")).agg(F.count("*").alias("rows"))
+
+
+@query()
+def pooled_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty rows at random from the first hundred in scan order that end on a box."""
+    c = corpus(spark, d, "scan_idx", "source", "response").where(tx.last_line(F.coalesce("response", F.lit(""))).rlike(fx.FREEFORM_FINAL))
+    return qualify.pool_then_sample(c, 20, "scan_idx", "scan_idx").select("scan_idx", "source")
+
+
+@query()
+def any_order_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Wrong answers of several slots that are right in another order, by run."""
+    r = last_responses(spark, d).where(~tx.is_mcq(F.col("options")) & (F.size("gold") > 1))
+    e = r.select("run", "gold", judging.grade_udf("response", "gold").alias("ok"), judging.extracted_udf("response").alias("got")).where(~F.col("ok") & (F.size("got") == F.size("gold")))
+    return e.groupBy("run").agg(F.count("*").alias("n"), F.count_if(judging.any_order_udf("got", "gold")).alias("other_order"))
+
+
 @query()
 def quota_corpus(spark: SparkSession, d: str) -> DataFrame:
     """A corpus by topic quotas with the anchor topped up."""

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,17 +45,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where that is
-    unset (tests, one machine) a folder under the local temporary directory is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir is unset on a cluster")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "tallgrass-checkpoints"))
-    return df.checkpoint()
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A shared folder that is deleted afterwards."""
+    folder = shared_folder(spark)
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -47,14 +47,14 @@ def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None, overwr
 
 def read_long_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with header whose quoted fields hold line breaks and doubled quotes."""
-    return spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"', maxCharsPerColumn=-1).csv(path)
+    return spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"', maxCharsPerColumn=-1, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_long_csv(df: DataFrame, path: str, order: list[str] | None = None, overwrite: bool = False) -> int:
     """CSV with minimal quoting; read again and counted.  Gives the number of rows."""
     rows = df.count()
     out = df.coalesce(1).sortWithinPartitions(*order) if order else df
-    out.write.mode("overwrite" if overwrite else "errorifexists").options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    out.write.mode("overwrite" if overwrite else "errorifexists").options(header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     got = read_long_csv(df.sparkSession, path, df.schema).count()
     if got != rows:
         raise RuntimeError(f"{path}: {rows} rows written, {got} read back")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tallgrass.operators import reject
-from tallgrass.sources.files import append, remaining
+from tallgrass.sources.files import append, exists, remaining
 
 
 def append_new(out: str, key: Sequence[str], order: str) -> Callable[[DataFrame, int], None]:
@@ -24,24 +26,19 @@ def append_new(out: str, key: Sequence[str], order: str) -> Callable[[DataFrame,
     def sink(batch: DataFrame, _: int) -> None:
         names = [c for c in batch.columns if c not in key]
         first = batch.groupBy(*key).agg(F.min_by(F.struct(*names), order).alias("_f")).select(*key, *[F.col(f"_f.`{c}`").alias(c) for c in names])
-        if len(key) == 1:
-            new = remaining(first, out, key[0])
-        else:
-            marked = first.withColumn("_k", F.to_json(F.struct(*key)))
-            new = _unseen(marked, out, key)
-        append(new, out)
+        append(_unseen(first, out, key), out)
 
     return sink
 
 
-def _unseen(marked: DataFrame, out: str, key: Sequence[str]) -> DataFrame:
-    from tallgrass.sources.files import exists
-
-    spark = marked.sparkSession
+def _unseen(first: DataFrame, out: str, key: Sequence[str]) -> DataFrame:
+    """Rows whose key the table lacks: an anti join on the key columns, the only ones that are read of it."""
+    spark = first.sparkSession
     if not exists(spark, out):
-        return marked.drop("_k")
-    seen = spark.read.parquet(out).select(F.to_json(F.struct(*key)).alias("_k")).distinct()
-    return marked.join(seen, "_k", "left_anti").drop("_k")
+        return first
+    seen = spark.read.parquet(out).select(*[F.col(k).alias(f"_seen_{n}") for n, k in enumerate(key)]).distinct()
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_seen_{n}")) for n, k in enumerate(key)])
+    return first.join(seen, same, "left_anti")
 
 
 def stream_files(spark: SparkSession, path: str, schema: T.StructType, per_batch: int = 100, kind: str = "parquet", glob: str | None = None) -> DataFrame:
