@@ -157,11 +157,14 @@ class Vocabulary:
 def load(name: str = "byte_bpe_50k", tokenizers: str = TOKENIZERS) -> Vocabulary:
     """Read a vocabulary: ``<name>.json`` with a merge list, else ``<name>.tiktoken`` ranks."""
     try:
-        model = json.load(open(f"{tokenizers}/{name}.json", encoding="utf-8"))["model"]
+        whole = json.load(open(f"{tokenizers}/{name}.json", encoding="utf-8"))
     except FileNotFoundError:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(f"{tokenizers}/{name}.tiktoken", "rb"))}
         pairs = [(ranks[w[:k]], ranks[w[k:]], r, r) for w, r in ranks.items() for k in range(1, len(w)) if w[:k] in ranks and w[k:] in ranks]
         return Vocabulary(np.array([ranks[bytes([b])] for b in range(256)]), *np.array(pairs, np.int64).T)
+    cut, model = whole.get("pre_tokenizer") or {}, whole["model"]
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or cut.get("use_regex") is False or whole.get("normalizer"):
+        raise ValueError(f"{name}: only vocabularies of plain byte-level pre-tokens are supported")
     vocab, names = model["vocab"], _byte_names()
     of_byte = np.zeros(256, np.int64)
     for ch, b in names.items():

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,19 +57,21 @@ def first_fit(sizes: list[int], capacity: int) -> list[int]:
 def pack_group(g: pd.DataFrame, key: str) -> pd.DataFrame:
     """Pieces and containers of one group (all rows share a bin)."""
     cap = int(g["capacity"].iat[0])
-    pieces = []  # (length, key, part, parts)
-    full = []
-    for k, n in zip(g[key].tolist(), g["_len"].tolist()):
-        whole, rest = divmod(max(n, 0), cap) if n > cap else (0, max(n, 0))
-        parts = whole + (rest > 0 or whole == 0)
-        full += [(cap, k, p, parts) for p in range(whole)]
-        if rest or not whole:
-            pieces.append((rest, k, whole, parts))
-    pieces.sort(key=lambda p: (-p[0], p[1]))
-    at = first_fit([p[0] for p in pieces], cap)
-    used = max(at, default=-1) + 1
-    rows = [(*p, c) for p, c in zip(pieces, at)] + [(*p, used + i) for i, p in enumerate(full)]
-    out = pd.DataFrame(rows, columns=["length", key, "part", "parts", "container"])
+    n = np.maximum(g["_len"].to_numpy(np.int64), 0)
+    keys = g[key].to_numpy()
+    whole = np.where(n > cap, n // cap, 0)
+    rest = n - whole * cap
+    parts = whole + ((rest > 0) | (whole == 0))
+    last = np.flatnonzero((rest > 0) | (whole == 0))
+    last = last[np.lexsort((keys[last], -rest[last]))]
+    at = np.array(first_fit(rest[last].tolist(), cap), np.int64)
+    used = int(at.max(initial=-1)) + 1
+    own = np.repeat(np.arange(len(n)), whole)  # full containers, one for each whole piece
+    part = np.arange(len(own)) - np.repeat(np.cumsum(whole) - whole, whole)
+    out = pd.DataFrame({
+        "length": np.concatenate([rest[last], np.full(len(own), cap)]), key: np.concatenate([keys[last], keys[own]]), "part": np.concatenate([whole[last], part]),
+        "parts": np.concatenate([parts[last], parts[own]]), "container": np.concatenate([at, used + np.arange(len(own))]),
+    })
     out["bin_id"], out["capacity"], out["grp"] = g["bin_id"].iat[0], cap, g["_grp"].iat[0]
     return out[["bin_id", key, "part", "parts", "length", "grp", "container", "capacity"]]
 

@@ -79,7 +79,11 @@ def supplies(corpus: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
 
 
 def allocate(corpus: DataFrame, targets: DataFrame) -> DataFrame:
-    """The report: a row per target row with target, supply, seats and ``unmet``."""
+    """The report: a row per target row with target, supply, seats, ``unmet`` and ``short``.
+
+    ``unmet`` is a target beyond the supply, ``short`` one that got fewer whole seats than it asks
+    for, be it for want of rows or because the minimums of others took them.
+    """
     rows = corpus.count()
     t = targets.select("mix_id", "by_field", "category", "share", "min_rows", "sample_frac", spelling(F.col("category")).alias("cat"))
     t = t.join(supplies(corpus), ["by_field", "cat"], "left").fillna({"supply": 0, "share": 0.0, "min_rows": 0, "sample_frac": 0.0})
@@ -89,10 +93,11 @@ def allocate(corpus: DataFrame, targets: DataFrame) -> DataFrame:
         one["seats"] = seats(one["share"], one["floor"], one["supply"], int(g["sample_frac"].max() * rows + 0.5))
         g = g.merge(one[["seats"]], left_on="cat", right_index=True)
         told = [_unmet(*x, rows) for x in zip(g["share"], g["sample_frac"], g["min_rows"], g["supply"])]
-        return g.assign(target=[a for a, _ in told], unmet=[b for _, b in told])[OUT]
+        target = np.array([a for a, _ in told])
+        return g.assign(target=target, unmet=[b for _, b in told], short=g["seats"].to_numpy() < np.floor(target + 1e-9))[OUT]
 
-    OUT = ["mix_id", "by_field", "category", "cat", "target", "supply", "seats", "unmet"]
-    return t.groupBy("mix_id").applyInPandas(per_mix, "mix_id int, by_field string, category string, cat string, target double, supply bigint, seats bigint, unmet boolean")
+    OUT = ["mix_id", "by_field", "category", "cat", "target", "supply", "seats", "unmet", "short"]
+    return t.groupBy("mix_id").applyInPandas(per_mix, "mix_id int, by_field string, category string, cat string, target double, supply bigint, seats bigint, unmet boolean, short boolean")
 
 
 def sample(corpus: DataFrame, targets: DataFrame, *, key: str = "scan_idx", seed: int = 42) -> DataFrame:

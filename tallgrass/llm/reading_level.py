@@ -4,11 +4,12 @@ Method: gradient-boosted regression trees over distributions of length (words pe
 letters and syllables per word), vocabulary (how typical each word and each sentence is of each
 band, by hashed word statistics), syntax (marks, maths, capitals, joining words) and cohesion
 (words carried from sentence to sentence, repetition).  Grades are predicted out of fold, with
-the sources of the documents as folds; the cut points between bands are calibrated on those
+the sources of the documents (at most ``FOLDS`` groups of them) as folds; the cut points between bands are calibrated on those
 predictions.
 
-The model is fitted on a bounded sample of rated documents (``RATED``, smallest key hashes);
-scoring reads every document whole, in one scan without a shuffle.
+The model is fitted on a bounded sample of rated documents (``RATED``, smallest key hashes, texts of
+at most ``LONGEST`` bytes); its trees are grown on features whose word statistics never saw the
+document's fold, as they will be for documents without a rating.  Scoring reads every document whole, in one scan without a shuffle.
 
 Defined results: bands are compared without case and outer blanks, an unknown or null band is no
 rating, repeated and disagreeing ratings are averaged; a document outside ``lang = 'en'`` or
@@ -18,6 +19,7 @@ lowest band.  Repeated documents get a row each.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,8 @@ from tallgrass.llm.boosting import Boosted
 BANDS = ("primary", "middle", "secondary", "university")
 #: Most rated documents the model is fitted on.
 RATED = 6000
+#: Most bytes of a text the model is fitted on, and most folds.
+LONGEST, FOLDS = 1 << 16, 10
 BITS = 17
 _SHIFT = np.uint64(64 - BITS)
 _VOWEL = np.zeros(256, bool)
@@ -140,6 +144,14 @@ def word_table(slots: list[np.ndarray], grades: np.ndarray, smooth: float = 0.5)
     return t
 
 
+def folds_of(sources: np.ndarray) -> np.ndarray:
+    """Fold of each document: by source, several sources to a fold where there are more than ``FOLDS``; five folds of a single source."""
+    number, names = pd.factorize(pd.Series(sources, dtype=object).fillna(""))
+    if len(names) == 1:
+        return np.arange(len(number)) % 5
+    return number if len(names) <= FOLDS else np.array([zlib.crc32(str(n).encode()) % FOLDS for n in names])[number]
+
+
 class Model:
     """Word table, trees and calibrated cut points."""
 
@@ -150,18 +162,19 @@ class Model:
         self.trees: Boosted | None = None
         if len(texts) == 0:
             return
-        parts = [Parts(col.slice(a, b - a)) for col in [at.plain(pa.array(texts, pa.string()))] for a, b in at.blocks(col)]
-        slots = [s for p in parts for s in np.split(p.slot, np.cumsum(p.w.count)[:-1])]
-        folds = pd.factorize(pd.Series(sources).fillna(""))[0]
-        if folds.max() == 0:
-            folds = np.arange(len(texts)) % 5
-        x = np.zeros((len(texts), 0))
-        for k in np.unique(folds):  # word statistics of a document never hold its own source
-            rest = folds != k
-            t = word_table([slots[i] for i in np.flatnonzero(rest)], grades[rest])
-            f = np.concatenate([features(p, t) for p in parts])
-            x = np.zeros_like(f) if x.shape[1] == 0 else x
-            x[~rest] = f[~rest]
+        folds = folds_of(sources)
+        order = np.argsort(folds, kind="stable")  # documents of a fold side by side
+        texts, grades, sources, folds = [texts[i] for i in order], grades[order], np.asarray(sources, object)[order], folds[order]
+        parts = []
+        for k in np.unique(folds):
+            col = at.plain(pa.array([t for t, f in zip(texts, folds) if f == k], pa.string()))
+            parts += [(k, Parts(col.slice(a, b - a))) for a, b in at.blocks(col)]
+        slots = [s for _, p in parts for s in np.split(p.slot, np.cumsum(p.w.count)[:-1])]
+        tables = {}
+        for k in np.unique(folds):  # word statistics of a document never hold its own fold
+            rest = np.flatnonzero(folds != k)
+            tables[k] = word_table([slots[i] for i in rest], grades[rest])
+        x = np.concatenate([features(p, tables[k]) for k, p in parts])
         out = np.zeros(len(texts))
         for k in np.unique(folds):
             rest = folds != k
@@ -171,14 +184,17 @@ class Model:
         got = np.searchsorted(self.cuts, out)
         r = pd.DataFrame({"source": sources, "ok": got == truth, "err": np.abs(out - grades)})
         self.report = r.groupby("source", dropna=False).agg(n=("ok", "size"), accuracy=("ok", "mean"), mae=("err", "mean")).reset_index()
+        self.report["source"] = [None if s != s else s for s in self.report["source"]]
         self.table = word_table(slots, grades).astype(np.float32)
         self.trees = Boosted().fit(x, grades)
 
+    def grades(self, col: pa.Array) -> np.ndarray:
+        """Estimated grades of a block of texts."""
+        return np.zeros(len(col)) if self.trees is None else self.trees.predict(features(Parts(col), self.table))
+
     def bands(self, col: pa.Array) -> np.ndarray:
         """Band numbers of a block of texts."""
-        if self.trees is None:
-            return np.zeros(len(col), np.int64)
-        return np.searchsorted(self.cuts, self.trees.predict(features(Parts(col), self.table)))
+        return np.zeros(len(col), np.int64) if self.trees is None else np.searchsorted(self.cuts, self.grades(col))
 
 
 def calibrate(pred: np.ndarray, truth: np.ndarray) -> np.ndarray:
@@ -192,13 +208,23 @@ def calibrate(pred: np.ndarray, truth: np.ndarray) -> np.ndarray:
     return np.array(cuts)
 
 
-def rated_documents(docs: DataFrame, labels: DataFrame, *, bound: int = RATED, seed: int = 7) -> pd.DataFrame:
-    """Texts, sources and mean grades of at most ``bound`` rated English documents."""
+def rated(labels: DataFrame) -> DataFrame:
+    """``(doc_id, grade)``: the mean grade of every document with a usable rating."""
     band = F.lower(F.regexp_replace("band", r"^\s+|\s+$", ""))
     grade = F.array_position(F.array(*map(F.lit, BANDS)), band) - 1
-    rated = labels.select("doc_id", grade.cast("double").alias("grade")).where("grade >= 0").groupBy("doc_id").agg(F.avg("grade").alias("grade"))
-    rated = rated.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(bound)
-    return docs.where("text is not null").select("doc_id", "text", "source").join(F.broadcast(rated), "doc_id").select("text", "source", "grade").limit(bound).toPandas()  # the limit matters where keys repeat
+    return labels.select("doc_id", grade.cast("double").alias("grade")).where("grade >= 0").groupBy("doc_id").agg(F.avg("grade").alias("grade"))
+
+
+def sample_keys(docs: DataFrame, labels: DataFrame, bound: int, seed: int = 7) -> DataFrame:
+    """``(doc_id, grade)`` of the rated documents the model is fitted on: those with the smallest key hashes."""
+    own = rated(labels).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    return own.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(bound)
+
+
+def rated_documents(docs: DataFrame, labels: DataFrame, *, bound: int = RATED) -> pd.DataFrame:
+    """Texts, sources and mean grades of at most ``bound`` rated documents, of at most ``LONGEST`` bytes each."""
+    usable = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST)).select("doc_id", "text", "source")
+    return usable.join(F.broadcast(sample_keys(docs, labels, bound)), "doc_id").select("text", "source", "grade").limit(bound).toPandas()  # the limit matters where keys repeat
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, bound: int = RATED) -> Model:
@@ -207,6 +233,28 @@ def fit(docs: DataFrame, labels: DataFrame, *, bound: int = RATED) -> Model:
     return Model(got["text"].tolist(), got["grade"].to_numpy(float), got["source"].to_numpy(object))
 
 
+def accuracy(docs: DataFrame, labels: DataFrame, *, bound: int = RATED) -> DataFrame:
+    """``(source, n, accuracy, mae)`` over all rated English documents: those of the sample out of fold, all others by the fitted model."""
+    english = docs.where("lang = 'en' and text is not null")
+    made = fit(docs, labels, bound=bound)
+    model = docs.sparkSession.sparkContext.broadcast(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col, truth = at.plain(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
+            for a, b in at.blocks(col):
+                g, t = model.value.grades(col.slice(a, b - a)), truth[a:b]
+                right = np.searchsorted(model.value.cuts, g) == np.rint(t)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(right.astype(float)), pa.array(np.abs(g - t))], names=["source", "ok", "err"])
+
+    rest = rated(labels).join(sample_keys(docs.where("lang = 'en'"), labels, bound).select("doc_id"), "doc_id", "left_anti")
+    far = english.select("doc_id", "source", "text").join(rest, "doc_id").select("source", "text", "grade").mapInArrow(run, "source string, ok double, err double")
+    far = far.groupBy("source").agg(F.count("*").alias("n"), F.sum("ok").alias("ok"), F.sum("err").alias("err"))
+    near = [(r.source, int(r.n), float(r.accuracy * r.n), float(r.mae * r.n)) for r in made.report.itertuples()]
+    both = far.unionByName(docs.sparkSession.createDataFrame(near, "source string, n bigint, ok double, err double"))
+    return both.groupBy("source").agg(F.sum("n").alias("n"), (F.sum("ok") / F.sum("n")).alias("accuracy"), (F.sum("err") / F.sum("n")).alias("mae"))
+
+
 def levels(docs: DataFrame, labels: DataFrame, *, min_chars: int = 300, key: str = "doc_id") -> DataFrame:
     """``(key, band)`` of every English document of at least ``min_chars`` characters."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))

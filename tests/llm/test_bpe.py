@@ -73,3 +73,8 @@ def test_table(spark, reference):
     got = {r.doc_id: list(r.ids) for r in bpe.encode_corpus(df).collect()}
     assert got == {k: reference(t) if t else [] for k, t, _ in rows}
     assert bpe.encode_corpus(df.limit(0)).count() == 0
+
+
+def test_other_kinds_of_vocabulary_are_refused():
+    with pytest.raises(ValueError):
+        bpe.load("word_bpe_49k")
