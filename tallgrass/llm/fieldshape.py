@@ -211,13 +211,16 @@ def grams(tails: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def closing(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and rows of the last 1 to 5 bytes of each text, hashed with their length."""
+    """Slots and rows of the last 1 to 5 bytes of each text."""
     data, off = at.buffers(texts)
     slot, row = [], []
-    for k in range(1, 6):
-        ok = np.flatnonzero(off[1:] - off[:-1] >= k)
-        slot.append(linear.slots(at.mix(at.span_hash(data, off[1:][ok] - k, off[1:][ok], lower=False) ^ np.uint64(k))))
-        row.append(ok)
+    h = np.zeros(len(texts), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(1, 6):
+            ok = np.flatnonzero(off[1:] - off[:-1] >= k)
+            h[ok] = (h[ok] + np.uint64(1)) * np.uint64(0x100000001B3) + data[off[1:][ok] - k]
+            slot.append(linear.slots(at.mix(at.mix(h[ok]) ^ np.uint64(k))))
+            row.append(ok)
     return np.concatenate(slot), np.concatenate(row)
 
 
@@ -229,25 +232,24 @@ class Refusals:
     """A linear model of sentences that decline to answer; a text has the score of its most refusing sentence."""
 
     def __init__(self, refusing: list[str], other: list[str]):
-        n, slot, row, owner = _sentence_grams(pa.array(refusing + other, pa.string()))
+        n, slot, row, owner = _sentence_grams(at.Words(*at.buffers(pa.array(refusing + other, pa.string()))))
         y = (owner < len(refusing)).astype(float)[:, None]
         self.model = linear.Linear(1, 0).fit(np.zeros((n, 0)), slot, row, y) if refusing and other else None
 
-    def score(self, texts: pa.Array) -> np.ndarray:
+    def score(self, texts: pa.Array, w: at.Words) -> np.ndarray:
         """How much the most refusing sentence of each text declines to answer, from -1 to 1."""
         out = np.full(len(texts), -SCALE)
         if self.model is None or not len(texts):
             return out
-        n, slot, row, owner = _sentence_grams(texts)
+        n, slot, row, owner = _sentence_grams(w)
         s = self.model.scores(np.zeros((n, 0)), slot, row)[:, 0] - self.model.cut[0]
         np.maximum.at(out, owner, s)
         return np.clip(out, -SCALE, SCALE) / SCALE
 
 
-def _sentence_grams(texts: pa.Array) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def _sentence_grams(w: at.Words) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """Number of sentences, slots and sentences of the n-grams (one to three words), and the text of each sentence."""
-    data, off = at.buffers(texts)
-    w = at.Words(data, off)
+    data = w.data
     end = np.flatnonzero((data == 10) | (data == 46) | (data == 33) | (data == 63))
     key = np.searchsorted(end, w.start)
     new = np.ones(len(key), bool)
@@ -281,7 +283,7 @@ def response_features(texts: pa.Array, owner: np.ndarray, questions: Questions,
     x[:, col["at_limit"]] = limit * (1 - np.maximum(x[:, col["complete_box"]], x[:, col["complete_value"]]))  # a full answer may end anywhere
     x[:, col["limit_no_final"]] = limit * x[:, col["no_final"]]
     if refusals:
-        x[:, col["refuses"]] = refusals.score(texts)
+        x[:, col["refuses"]] = refusals.score(texts, w)
         x[:, col["refuses_no_final"]] = np.maximum(x[:, col["refuses"]], 0) * x[:, col["no_final"]]
     slot, row = grams(pa.array([m[1] for m in made], pa.string()))
     more, at_ = closing(texts)
@@ -298,7 +300,7 @@ def answer_features(texts: pa.Array, owner: np.ndarray, questions: Questions, sl
     speech = language.sentences(texts, questions.tongue, w)
     _pair(x, col, mine, theirs, speech.other(np.where(questions.lang[owner] < 0, 0, questions.lang[owner])))
     if refusals:
-        x[:, col["refuses"]] = refusals.score(texts)
+        x[:, col["refuses"]] = refusals.score(texts, w)
     slot, row = grams(texts)
     return x, slot, row
 

@@ -350,8 +350,8 @@ def broken(s: pd.DataFrame, rng: random.Random, tongue: language.Tongue):
         if slots[i] == 1 and (said := unboxed(texts[i], rng)):
             rows.append((said, qs[i], slots[i], False, None))
             end = said.rstrip().rfind(" ")
-            if end > 4:  # and the same cut before its value
-                rows.append((said[: rng.randint(max(3, end - 40), end)], qs[i], slots[i], rng.random() < 0.5, 1))
+            for k in (0, 1) if end > 4 else ():  # and the same cut before its value
+                rows.append((said[: rng.randint(max(3, end - 40), end)], qs[i], slots[i], bool(k), 1))
     for i in good:
         rows.append((cut(texts[i], rng), qs[i], slots[i], rng.random() < 0.5, 1))
         k = rng.random()
