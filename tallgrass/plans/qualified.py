@@ -10,8 +10,9 @@ from tallgrass.functions import judging
 from tallgrass.functions import text as tx
 from tallgrass.operators import qualify
 from tallgrass.plans.base import corpus, items
+from tallgrass.plans.corpus import LAST_LINE
 from tallgrass.plans.grading import last_responses
-from tallgrass.plans.registry import Registry
+from tallgrass.plans.registry import Registry, quoted
 
 query = Registry()
 
@@ -82,7 +83,16 @@ def quota_corpus(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("bucket").agg(F.count("*").alias("rows"), F.countDistinct("scan_idx").alias("ids"))
 
 
-@query()
+_LINE = LAST_LINE.format("coalesce(response, '')")
+_CJK = "'[\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}\\x{3040}-\\x{30ff}\\x{ac00}-\\x{d7af}]'"
+
+
+@query(f"""with v as (select unnest(list_filter([case when coalesce(task_type, '') not in ('mcq', 'freeform') then 'task_type' end,
+        case when not (case when task_type = 'mcq' then regexp_matches({_LINE}, {quoted(fx.MCQ_FINAL)}) else regexp_matches({_LINE}, {quoted(fx.FREEFORM_FINAL)}) end) then 'final_line' end,
+        case when not (regexp_matches(coalesce(response, ''), {quoted(fx.OPEN_TAG)}) and regexp_matches(coalesce(response, ''), {quoted(fx.CLOSE_TAG)})) then 'wrapper' end,
+        case when coalesce(template_tokens, 0) > {fx.MAX_TOKENS} then 'tokens' end, case when regexp_replace(coalesce(answer, ''), '^\\s+|\\s+$', '', 'g') = '' then 'answer' end,
+        case when regexp_matches(question, {_CJK}) or regexp_matches(coalesce(response, ''), {_CJK}) then 'cjk' end], lambda x: x is not null)) as rule from sft_corpus)
+    select rule, count(*) as rows from v group by rule""")
 def contract_violations(spark: SparkSession, d: str) -> DataFrame:
     """Broken contract rules of the stored corpus."""
     return qualify.violations(corpus(spark, d, "task_type", "question", "response", "answer", "template_tokens"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallgrass.functions import fixed_values as fx
 from tallgrass.functions import text as tx
 from tallgrass.operators import sampling
-from tallgrass.plans.base import ITEMS, corpus, items
+from tallgrass.plans.base import _TAIL, ITEMS, corpus, items
 from tallgrass.plans.registry import Registry, quoted
 from tallgrass.sources.tables import table
 
@@ -25,7 +25,11 @@ def stratified_holdout(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stratified_fraction(corpus(spark, d, "source", "scan_idx"), ["source"], 0.2, "scan_idx").select("source", "scan_idx")
 
 
-@query()
+@query(f"""with recursive {ITEMS}, w as (select id, (case when coalesce(len(options), 0) > 0 then 'mcq' else 'freeform' end) || '/' || len(regexp_extract_all(question, '\\[ANS\\]')) as stratum from items),
+    s as (select stratum, count(*) as n, row_number() over (order by {_u('stratum', 42)}, stratum) as i, count(*) over () as m, sum(count(*)) over () as total from w group by stratum),
+    k as (select i, stratum, least(case when m > 1 then greatest(round_even(60.0 * n / total, 0), 1) else n end, n, 60)::bigint as k, 60 as open from s where i = 1
+        union all select s.i, s.stratum, least(case when s.i < s.m then greatest(round_even(60.0 * s.n / s.total, 0), 1) else s.n end, s.n, k.open - k.k)::bigint, (k.open - k.k)::int from s join k on s.i = k.i + 1)
+    select id, stratum from (select w.*, k.k, row_number() over (partition by w.stratum order by {_u('id', 42)}, id) as r from w join k on k.stratum = w.stratum) where r <= k""")
 def proportional_watch(spark: SparkSession, d: str) -> DataFrame:
     """A watch set of 60 items in proportion to their kind and number of blanks."""
     i = items(spark, d).select("id", F.concat_ws("/", F.when(tx.is_mcq(F.col("options")), "mcq").otherwise("freeform"), tx.blanks(F.col("question")).cast("string")).alias("stratum"))
@@ -90,7 +94,15 @@ def compose_multi_blank(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+_STRIPPED = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_WHY = f"""case when regexp_matches(response, {quoted(fx.OPEN_TAG)}) and regexp_matches(response, {quoted(fx.CLOSE_TAG)}) then {_STRIPPED.format(f"regexp_extract(response, {quoted('(?s)' + fx.OPEN_TAG + '(.*?)' + fx.CLOSE_TAG)}, 1)")}
+    else {_STRIPPED.format(f"regexp_extract({_STRIPPED.format('response')}, '(?s)^(.*)' || chr(10) || '[^' || chr(10) || ']*$', 1)")} end"""
+
+
+@query(f"""with r as (select scan_idx, {_STRIPPED.format('question')} as q, len(regexp_extract_all(question, '\\[ANS\\]')) as n, regexp_extract_all({_TAIL}, {quoted(fx.ANY_BOX_3)}, 1) as b, {_WHY} as why from sft_corpus)
+    select scan_idx, case when n >= len(b) then q else q || (case when q = '' then '' else chr(10) || chr(10) end) || array_to_string(list_transform(range(len(b) - n), lambda x: 'Answer: [ANS]'), chr(10)) end as question,
+        '<think>' || chr(10) || (case when why <> '' then why || chr(10) else '' end) || '</think>' || chr(10) || chr(10) || array_to_string(list_transform(b, lambda x: '\\boxed{{' || x || '}}'), ', ') as response,
+        array_to_string(b, ', ') as answer, len(b) as blank_count, 'native' as supplement_mode from r where len(b) between 2 and 4""")
 def native_multi_blank(spark: SparkSession, d: str) -> DataFrame:
     """Rows that end on two to four boxes, rewritten with as many blanks and one final line."""
     r = F.coalesce("response", F.lit(""))
