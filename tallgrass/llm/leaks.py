@@ -106,14 +106,13 @@ class Index:
         runs, row, pos = _runs(w)
         rare = np.log((total + 1) / np.maximum(_lookup(own["run"], own["run_df"], runs), 1)) / np.log(total + 1)
         rare = np.clip(rare, 0, 1) ** 2 if len(runs) else rare
-        longest = int(w.count.max(initial=0)) + RUN
-        weight = np.zeros(n * longest if len(runs) else 0)
+        weight = np.zeros(len(w.hash))  # of each word of the items, by the rarest run it lies in
         for k in range(RUN):
-            np.maximum.at(weight, row * longest + pos + k, rare)
-        whole = weight.reshape(n, longest).sum(axis=1) if len(weight) else np.zeros(n)
+            np.maximum.at(weight, w.first[row] + pos + k, rare)
+        whole = np.bincount(w.row, weights=weight, minlength=n) if len(weight) else np.zeros(n)
         self.need = np.where(w.count < LEAST, np.inf, np.minimum(WORDS, np.where(w.count < 8, 0.999, SHARE) * whole))
         self.need[self.need <= 0] = np.inf
-        impact /= self._enough(w, pair, impact, weight.reshape(n, longest) if len(weight) else weight)[d]
+        impact /= self._enough(w, pair, impact, weight)[d]
         self.start = np.searchsorted(t, np.arange(len(vocab) + 2)).astype(np.int64)  # the last, a term without postings, pads
         self.item, self.impact = d.astype(np.int32), impact.astype(np.float32)
         chunk = np.arange(len(t)) - self.start[t]
@@ -134,28 +133,43 @@ class Index:
         All but ``MISSED`` of its own parts of ``PART`` words reach it; parts that hardly weigh in
         verification do not count.  An item without such parts takes most of its own score.
         """
-        n = w.rows
+        n, words = w.rows, len(w.hash)
         out = np.ones(n)
-        if not len(pair):
+        if not words:
             return out
         term = np.searchsorted(np.unique(w.hash), w.hash).astype(np.int64)
-        at_ = impact[np.searchsorted(pair, term * n + w.row)]
-        one, first = np.unique(w.row * np.int64(len(w.hash) + 1) + term, return_index=True)
-        whole = np.bincount(w.row[first], weights=at_[first], minlength=n)
-        for r in range(n):
-            a, b = w.first[r], w.first[r + 1]
-            if b - a < PART:
-                out[r] = max(0.7 * whole[r], 1e-6)
-                continue
-            view, names, heavy = (np.lib.stride_tricks.sliding_window_view(x, PART) for x in (at_[a:b], term[a:b], weight[r, : b - a]))
-            again = np.sort(names, axis=1)
-            repeats = np.zeros(len(view))
-            for i in np.flatnonzero((again[:, 1:] == again[:, :-1]).any(axis=1)):  # a passage asks for a term once
-                _, k = np.unique(names[i], return_index=True)
-                repeats[i] = view[i].sum() - view[i][k].sum()
-            score = view.sum(axis=1) - repeats
-            fair = heavy.mean(axis=1) >= 0.7
-            out[r] = max(np.quantile(score[fair] if fair.any() else score, MISSED), 1e-6)
+        name = term * n + w.row
+        at_ = impact[np.searchsorted(pair, name)].astype(float)
+        by = np.argsort(name, kind="stable")  # occurrences of a term in an item side by side
+        again = np.flatnonzero(name[by][1:] == name[by][:-1])
+        first, later = by[again], by[again + 1]
+        once = at_.copy()
+        once[later] = 0
+        whole = np.bincount(w.row, weights=once, minlength=n)
+        out = np.maximum(0.7 * whole, 1e-6)
+        start = np.flatnonzero(w.row[: max(words - PART + 1, 0)] == w.row[PART - 1 :])
+        if not len(start):
+            return out
+        total = lambda v: np.concatenate([[0.0], np.cumsum(v)])[np.array([start + PART, start])]
+        up, down = total(at_)
+        near = later - first < PART  # a passage asks for a term once
+        twice = np.zeros(words + 1)
+        np.add.at(twice, np.maximum(later[near] - PART + 1, w.first[w.row[later[near]]]), at_[later[near]])
+        np.add.at(twice, first[near] + 1, -at_[later[near]])
+        score = up - down - np.cumsum(twice)[start]
+        up, down = total(weight)
+        fair, row = (up - down) / PART >= 0.7, w.row[start]
+        some = np.bincount(row[fair], minlength=n) > 0
+        keep = fair | ~some[row]
+        score, row = score[keep], row[keep]
+        order = np.lexsort((score, row))
+        score, many = score[order], np.bincount(row, minlength=n)
+        head = np.cumsum(many) - many
+        own = np.flatnonzero(many)
+        place = MISSED * (many[own] - 1)
+        low = head[own] + np.floor(place).astype(np.int64)
+        high = np.minimum(low + 1, head[own] + many[own] - 1)
+        out[own] = np.maximum(score[low] + (score[high] - score[low]) * (place - np.floor(place)), 1e-6)
         return out
 
     def nbytes(self) -> int:
@@ -363,7 +377,7 @@ def _count(w: at.Words, ids: np.ndarray) -> dict:
     for kind, h, row in _tokens(w):
         keys = np.unique(h)
         k = np.searchsorted(keys, h)
-        many = [np.unique(np.stack([k, np.unique(of, return_inverse=True)[1][row]]), axis=1)[0] for of in (ids, text)]
+        many = [np.unique(k * np.int64(w.rows + 1) + np.unique(of, return_inverse=True)[1][row]) // (w.rows + 1) for of in (ids, text)]
         out[kind], out[f"{kind}_df"] = keys, np.minimum(*(np.bincount(m, minlength=len(keys)) for m in many)) if len(keys) else np.zeros(0, np.int64)
     return out
 
