@@ -163,8 +163,31 @@ KINDS: dict[str, Callable[[str, str, float], bool]] = {
 }
 
 
+#: Comparisons that a row may cost: long lists against long lists would otherwise stall a task.
+BUDGET = 50_000
+_spent = 0
+
+
+class Exhausted(Exception):
+    """A row has used up its comparisons."""
+
+
+def within_budget(judge: Callable[[], bool]) -> bool:
+    """What a judgement says within its budget of comparisons; beyond it, the answers are not equal."""
+    global _spent
+    _spent = 0
+    try:
+        return judge()
+    except Exhausted:
+        return False
+
+
 def compare(kind: str, pred: str, gold: str, tolerance: float = 1e-8) -> bool:
     """Comparison of one kind; what cannot be read is not equal."""
+    global _spent
+    _spent += 1
+    if _spent > BUDGET:
+        raise Exhausted
     try:
         return bool(KINDS[kind](pred, gold, tolerance))
     except (Unreadable, ValueError, IndexError, OverflowError, ZeroDivisionError, RecursionError):
@@ -184,8 +207,12 @@ def cause(response: str, gold: Sequence[str]) -> str:
         return "noextract"
     if len(got) != len(gold):
         return "align"
-    right = all(equal(an.normal(p), an.normal(g)) for p, g in zip(got, gold))
-    return "ok" if right else row_error(got, gold)
+    if within_budget(lambda: all(equal(an.normal(p), an.normal(g)) for p, g in zip(got, gold))):
+        return "ok"
+    try:
+        return row_error(got, gold)
+    except Exhausted:
+        return "conceptual"
 
 
 def grade(response: str, gold: Sequence[str], kinds: Sequence[str] | None = None, tolerance: float = 1e-8, keep_sign: bool = False, strict: bool = False) -> bool:
@@ -296,19 +323,19 @@ def any_order(pred: Sequence[str], gold: Sequence[str], most: int = 8) -> bool:
 @F.pandas_udf(T.BooleanType())
 def grade_udf(response: pd.Series, gold: pd.Series) -> pd.Series:
     """Automatic grading of a response against its gold answers; null responses are wrong."""
-    return pd.Series([r is not None and g is not None and grade(r, list(g)) for r, g in zip(response, gold)])
+    return pd.Series([r is not None and g is not None and within_budget(lambda: grade(r, list(g))) for r, g in zip(response, gold)])
 
 
 @F.pandas_udf(T.BooleanType())
 def lenient_udf(response: pd.Series, gold: pd.Series) -> pd.Series:
     """Lenient grading by any box."""
-    return pd.Series([r is not None and g is not None and lenient(r, list(g)) for r, g in zip(response, gold)])
+    return pd.Series([r is not None and g is not None and within_budget(lambda: lenient(r, list(g))) for r, g in zip(response, gold)])
 
 
 @F.pandas_udf(T.BooleanType())
 def equal_udf(pred: pd.Series, gold: pd.Series) -> pd.Series:
     """Equality of two answers of any kind, after normalising both."""
-    return pd.Series([p is not None and g is not None and equal(an.normal(p), an.normal(g)) for p, g in zip(pred, gold)])
+    return pd.Series([p is not None and g is not None and within_budget(lambda: equal(an.normal(p), an.normal(g))) for p, g in zip(pred, gold)])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -346,7 +373,7 @@ def cause_udf(response: pd.Series, gold: pd.Series) -> pd.Series:
 @F.pandas_udf(T.BooleanType())
 def any_order_udf(pred: pd.Series, gold: pd.Series) -> pd.Series:
     """Whether some order of the predictions matches."""
-    return pd.Series([p is not None and g is not None and any_order(list(p), list(g)) for p, g in zip(pred, gold)])
+    return pd.Series([p is not None and g is not None and within_budget(lambda: any_order(list(p), list(g))) for p, g in zip(pred, gold)])
 
 
 @F.pandas_udf(T.IntegerType())

@@ -11,7 +11,7 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,10 +51,12 @@ def read_long_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def write_long_csv(df: DataFrame, path: str, order: list[str] | None = None, overwrite: bool = False) -> int:
-    """CSV with minimal quoting; read again and counted.  Gives the number of rows."""
-    rows = df.count()
+    """CSV with minimal quoting; counted while it is written, read again and counted.  Gives the number of rows."""
+    seen = Observation()
+    df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     out = df.coalesce(1).sortWithinPartitions(*order) if order else df
     out.write.mode("overwrite" if overwrite else "errorifexists").options(header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    rows = seen.get["rows"]
     got = read_long_csv(df.sparkSession, path, df.schema).count()
     if got != rows:
         raise RuntimeError(f"{path}: {rows} rows written, {got} read back")

@@ -55,3 +55,11 @@ def test_screen_never_disagrees(spark):
     assert sum(r.exact for r in got) > 15
     for r in got:
         assert r.ok == (r.response is not None and j.grade(r.response, r.gold)), r
+
+
+def test_long_lists_end_within_their_budget():
+    many = ", ".join(f"{i}.5x+{i}" for i in range(900))
+    other = ", ".join(f"{i}.25x+{i}" for i in range(900))
+    assert not j.within_budget(lambda: j.equal(f"({many})", f"({other})"))
+    assert j.within_budget(lambda: j.equal("3", "3.0"))
+    assert j.cause("\\boxed{(" + many + ")}", [f"({other})"]) == "conceptual"
