@@ -244,45 +244,52 @@ class Index:
     def wand(self, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Passages (rows of ``grid``, term numbers, padded with the number of terms) and items that reach 1."""
         end = np.int32(self.items)
-        p = np.arange(len(grid))
+        p, width = np.arange(len(grid)), grid.shape[1]
         at_ = self.start[grid]
         item = np.where(at_ < self.start[grid + 1], self.item[np.minimum(at_, len(self.item) - 1)], end)
         bound = self.term_max[grid]
         got_p, got_i = [], []
-        while len(p):
-            order = np.argsort(item, axis=1)
-            can = np.cumsum(np.take_along_axis(bound, order, axis=1), axis=1) >= 1 - 1e-5
-            pivot = np.take_along_axis(item, np.take_along_axis(order, can.argmax(axis=1)[:, None], axis=1), axis=1)[:, 0]
+        while True:
+            lead = np.arange(len(p)) * width
+            key = np.sort(item.astype(np.int64) * width + np.arange(width), axis=1)  # items with their columns
+            can = np.cumsum(bound.ravel()[lead[:, None] + key % width], axis=1) >= 1 - 1e-5
+            pivot = (key.ravel()[lead + can.argmax(axis=1)] // width).astype(np.int32)
             live = can[:, -1] & (pivot < end)
-            if not live.all():
+            if np.count_nonzero(live) * 4 < 3 * len(p):  # leave finished passages behind
                 p, item, at_, grid, bound, pivot = p[live], item[live], at_[live], grid[live], bound[live], pivot[live]
-                if not len(p):
-                    break
-            upto = item <= pivot[:, None]  # the terms that can have the pivot
-            r, c = np.nonzero(upto)
-            g, x, want, now = grid[r, c], at_[r, c], pivot[r], item[r, c]
+                live = np.ones(len(p), bool)
+            if not live.any():
+                break
+            upto = item <= np.where(live, pivot, -1)[:, None]  # the terms that can have the pivot
+            f = np.flatnonzero(upto)
+            r = f // width
+            g, x, want, now = grid.ravel()[f], at_.ravel()[f], pivot[r], item.ravel()[f]
             block, inside = self._block(g, x, want)
             block = np.minimum(block, len(self.block_last) - 1)
             most = np.bincount(r, weights=np.where(inside, self.block_max[block], 0), minlength=len(p))
             hope = most >= 1 - 1e-5
-            here = now == want
+            away = np.bincount(r, weights=now != want, minlength=len(p)) > 0
             # without hope: on behind the nearest end of these blocks, or to the next term's item
-            edge = np.full(len(p), end)
-            np.minimum.at(edge, r, np.where(inside, self.block_last[block] + 1, end).astype(np.int32))
-            beyond = np.where(upto, end, item).min(axis=1)
-            target = np.where(hope, pivot, np.minimum(edge, beyond))
+            target = pivot.copy()
+            lost = live & ~hope
+            if lost.any():
+                i = np.flatnonzero(lost[r])
+                edge = np.full(len(p), end)
+                np.minimum.at(edge, r[i], np.where(inside[i], self.block_last[block[i]] + 1, end).astype(np.int32))
+                target[lost] = np.minimum(edge[lost], np.where(upto[lost], end, item[lost]).min(axis=1))
             # with hope and all terms there: score, then on by one item
-            ready = hope & (np.bincount(r, weights=~here, minlength=len(p)) == 0)
-            full = np.flatnonzero(ready[r])
-            score = np.bincount(r[full], weights=self.impact[x[full]], minlength=len(p))
-            hit = ready & (score >= 1 - 1e-5)
-            got_p.append(p[hit])
-            got_i.append(pivot[hit])
-            target = np.where(ready, pivot + 1, target)
+            ready = live & hope & ~away
+            if ready.any():
+                i = np.flatnonzero(ready[r])
+                score = np.bincount(r[i], weights=self.impact[x[i]], minlength=len(p))
+                hit = ready & (score >= 1 - 1e-5)
+                got_p.append(p[hit])
+                got_i.append(pivot[hit])
+                target[ready] += 1
             go = np.flatnonzero(now < target[r])
             to = self._seek(g[go], x[go], target[r[go]])
-            at_[r[go], c[go]] = to
-            item[r[go], c[go]] = np.where(to < self.start[g[go] + 1], self.item[np.minimum(to, len(self.item) - 1)], end)
+            at_.ravel()[f[go]] = to
+            item.ravel()[f[go]] = np.where(to < self.start[g[go] + 1], self.item[np.minimum(to, len(self.item) - 1)], end)
         return (np.concatenate(got_p), np.concatenate(got_i).astype(np.int64)) if got_p else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def covered(self, w: at.Words, pairs: np.ndarray) -> np.ndarray:

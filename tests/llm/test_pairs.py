@@ -8,7 +8,8 @@ import pytest
 
 from tallgrass.llm import fieldshape as fs
 from tallgrass.llm import pairs
-from tests.llm.test_text_operators import QUESTIONS, answered, tables
+from tests.llm import test_text_operators as operators
+from tests.llm.test_text_operators import QUESTIONS
 
 #: Refusals worded as no part of the training grammar words them.
 UNSEEN = (
@@ -21,6 +22,15 @@ FINE = ("does not exist", "no solution", "infinitely many solutions", "cannot be
 DECLINED = ("no comment", "not telling", "confidential", "I will not answer this", "I can't answer that question", "answer refused")
 
 
+def tables(spark):
+    """The tables of the other tests, whose own random numbers stay as they are."""
+    state = operators.rng.getstate()
+    try:
+        return operators.tables(spark)
+    finally:
+        operators.rng.setstate(state)
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     sft, resp, it, _ = tables(spark)
@@ -59,7 +69,7 @@ def test_worded_answers(model):
 
 def test_other_shapes(model):
     cut = "<think>\nFactor out the common term and simpl"
-    assert judged(model, "response", ["\\boxed{}" * 30, (QUESTIONS[0] + " ") * 3, cut, answered(5), ""]) == ["empty", "copy", "truncated", None, "empty"]
+    assert judged(model, "response", ["\\boxed{}" * 30, (QUESTIONS[0] + " ") * 3, cut, "<think>\nFactor out the common term and simplify.\n</think>\n\nFinal Answer: \\boxed{5}", ""]) == ["empty", "copy", "truncated", None, "empty"]
     assert judged(model, "answer", ["\\frac{3}{", "", "N/A"]) == ["truncated", "empty", "empty"]
 
 

@@ -95,7 +95,7 @@ def test_language():
     assert share[0] < 0.5 < share[1]
     short = ["gegen den Uhrzeigersinn", "siempre positiva", "i due valori", "нет решений", "无解", "none of these", "increasing", "8、x，DNE", "converges absolutely", "no real roots"]
     assert (language.sentences(pa.array(short), tongue).other(np.zeros(10, int)) > 0).tolist() == [True] * 5 + [False] * 5
-    again = language.Tongue().refine(pa.array([question() for _ in range(50)] + texts))
+    again = language.Tongue().refine(pa.array(QUESTIONS + texts))
     assert [language.LANGS[k] if k >= 0 else "-" for k in language.sentences(pa.array(texts), again).main()][:5] == ["en", "de", "fr", "ru", "zh"]
     assert language.Tongue().refine(pa.array([], pa.string())).table.any()
 
